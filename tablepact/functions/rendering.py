@@ -39,10 +39,10 @@ def _shortest(number: Column, single: bool) -> Column:
     tried again.
     """
     printed = number.cast("string")
-    longest, width = (9, "float") if single else (17, "double")
-    tries = F.when(F.length(F.regexp_replace(F.substring_index(printed, "E", 1), "[-.]", ""))
-                   < longest - 1, printed)
-    for digits in (longest - 2, longest - 1):
+    longest, width, tiny = (9, "float", 1.2e-38) if single else (17, "double", 2.3e-308)
+    written = F.length(F.regexp_replace(F.substring_index(printed, "E", 1), "[-.]", ""))
+    tries = F.when((written < longest - 1) & ((F.abs(number) > tiny) | (number == 0)), printed)
+    for digits in (1, longest - 2, longest - 1):
         attempt = F.upper(F.format_string(f"%.{digits - 1}e", number))
         tries = tries.when(attempt.try_cast(width) == number, attempt)
     return tries.otherwise(printed)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.contract import Column, struct_of
-from tablepact.errors import ConformError, LoadError, PactError
+from tablepact.errors import ConformError, PactError
 
 _VALUE = "__pact_value_"
 _FAILED = "__pact_failed_"
@@ -62,6 +62,7 @@ class Checked:
         cast_error: type[PactError] = ConformError,
         cast_text: str = "column {name}: {{count}} value(s) do not convert to {type} without loss",
         record_checks: Sequence[Check] = (),
+        value_error: type[PactError] = ConformError,
     ) -> None:
         self.source = source
         self.columns = tuple(columns)
@@ -75,7 +76,9 @@ class Checked:
                 failed = F.col(f"{_FAILED}{i}")
                 text = cast_text.format(name=_braced(column.name), type=column.type)
                 casts.append(Check(column.name, "cast", failed, cast_error, text))
-            values.extend(_value_checks(column, value, failed if how.can_fail else None))
+            values.extend(_value_checks(
+                column, value, failed if how.can_fail else None, value_error
+            ))
         self.checks = [*record_checks, *casts, *values]
         self._frame = source.select("*", *projected)
 
@@ -160,19 +163,8 @@ def raise_first(checks: Sequence[Check], seen: Mapping[str, Any]) -> None:
             raise check.failure(seen[f"n{i}"], seen.get(f"m{i}"))
 
 
-def constraint_checks(
-    columns: Sequence[Column], error: type[PactError] = LoadError
-) -> list[Check]:
-    """NOT NULL and length checks on columns that already have their final type."""
-    return [
-        check
-        for column in columns
-        for check in _value_checks(column, F.col(_quoted(column.name)), None, error)
-    ]
-
-
 def _value_checks(
-    column: Column, value: Expr, failed: Expr | None, error: type[PactError] = ConformError
+    column: Column, value: Expr, failed: Expr | None, error: type[PactError]
 ) -> list[Check]:
     checks, name = [], _braced(column.name)
     if not column.nullable:

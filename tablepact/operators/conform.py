@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.contract import EXTRA_COLUMN_POLICIES, Column
-from tablepact.errors import ConformError
+from tablepact.errors import ConformError, PactError
 from tablepact.functions.casts import strict_cast
 from tablepact.operators.checks import Checked, Converted
 
@@ -46,7 +46,10 @@ def check_names(
 
 
 def plan_conform(
-    df: DataFrame, columns: Sequence[Column], extra_columns: str = "raise"
+    df: DataFrame,
+    columns: Sequence[Column],
+    extra_columns: str = "raise",
+    error: type[PactError] = ConformError,
 ) -> Checked:
     """Settle names and types; return the frame whose values remain to be checked."""
     check_names(df.columns, columns, extra_columns)
@@ -64,7 +67,7 @@ def plan_conform(
             given, fields[column.name].dataType, column.sql_type, column.name
         )
         converted[column.name] = Converted(value, can_fail, given)
-    return Checked(source, columns, converted)
+    return Checked(source, columns, converted, error, value_error=error)
 
 
 def conform(

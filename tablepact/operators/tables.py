@@ -178,12 +178,13 @@ def load(spark: SparkSession, schema: str, table: str, data: DataFrame) -> int:
     state = describe(spark, schema, table)
     if not state.exists:
         raise LoadError(f"table {schema}.{table} does not exist")
+    if state.columns is None:
+        raise LoadError(f"table {schema}.{table} has columns of undeclared types")
     try:
-        if state.columns is None:
-            raise LoadError(f"table {schema}.{table} has columns of undeclared types")
-        return _replace(spark, state, plan_conform(data, state.columns))
+        checked = plan_conform(data, state.columns, error=LoadError)
     except ConformError as exc:
         raise LoadError(f"failed to write {schema}.{table}: {exc}") from exc
+    return _replace(spark, state, checked)
 
 
 def replace_contents(

@@ -125,14 +125,14 @@ def test_integers(spark):
 def test_floats(spark):
     values = [None, 0.0, -0.0, 1.0, -2.5, 3.9, 1e9, 1e10, 123456789.123, 1e15, 2.0**31, -2.0**31,
               2.0**62, 2.0**63, 1e300, float("nan"), float("inf"), float("-inf"), 0.1, 1e-5, 1e-6,
-              9.99e-7, 1e-7, 1.5e-7, 100.0, 1e22, 1e23, 1 / 3, 9999999999.0, 12345678901.5]
+              9.99e-7, 1e-7, 1.5e-7, 100.0, 1e22, 1e23, 1 / 3, 9999999999.0, 12345678901.5, 5e-324, -1e-323, 1.5e-323, 2.2250738585072014e-308]
     for target in ("DOUBLE PRECISION", "TEXT"):
         check(spark, values, pa.float64(), T.DoubleType(), target)
     for target in ("INTEGER", "BIGINT"):
         check(spark, [v for v in values if v != 2.0**63], pa.float64(), T.DoubleType(), target)
     assert spark_results(spark, [2.0**63, -2.0**63], T.DoubleType(), "BIGINT") == [BAD, -2**63]
     singles = [struct.unpack("f", struct.pack("f", v))[0] for v in
-               (0.1, 1.0, 1e10, 16777216.0, 3.4e38, 1e-7, 123.456)]
+               (0.1, 1.0, 1e10, 16777216.0, 3.4e38, 1e-7, 123.456, 1e-45)]
     check(spark, singles, pa.float32(), T.FloatType(), "TEXT")
 
 

@@ -1,0 +1,126 @@
+"""Fingerprints against hashlib and json on the same values."""
+
+import json
+import random
+from collections import Counter
+from hashlib import sha256
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablepact.functions.digests import byte_hash, fold, record_hash, record_json, text_hash
+from tablepact.operators.fingerprints import group_fold, snapshot_changes
+
+
+def hexed(text):
+    return sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def test_byte_and_text_hash(spark):
+    texts = ["", " a  b ", "select id\n  from   t", "\u00a0x\u3000y\x1cz\u2028", "a\u200bb", "\ttab\x0b\x85", "é😀", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    for r in df.select("i", "s", byte_hash(F.col("s")).alias("b"), text_hash(F.col("s")).alias("t")).collect():
+        assert r.b == (None if r.s is None else hexed(r.s))
+        assert r.t == (None if r.s is None else hexed(" ".join(r.s.split())))
+
+
+def test_fold(spark):
+    out = spark.sql("select 'a' a, 'b' b, 'c' c, cast(null as string) n").select(
+        fold(F.col("a"), F.col("b"), F.col("c")).alias("x"), fold(F.col("a"), F.col("n"), F.col("c")).alias("y")).first()
+    assert out.x == "sha256:" + hexed("a|b|c")
+    assert out.y == "sha256:" + hexed("a||c")
+
+
+def test_record_json_equals_json_dumps(spark):
+    rng = random.Random(5)
+    odd = ["", "plain", 'q"uo\\te', "\\u00E9 literal", "\\\\u00E9", "é", "😀", "\x7f\x01\x1f\b\f\n\r\t", "/", "\u2028", None]
+    odd += ["".join(rng.choice("\\u00Eé\"\x01😀aA") for _ in range(rng.randint(0, 10))) for _ in range(300)]
+    nums = [0.0, 1.0, -2.5, 1e16, 1e15, 1e-5, 1e-4, 123456.789, 1e22, 5e-324, 1e23, None]
+    rows = [(s, i, bool(i % 2) if i % 5 else None, nums[i % len(nums)]) for i, s in enumerate(odd)]
+    df = spark.createDataFrame(rows, "`zé` string, B int, a boolean, d double")
+    got = df.select("*", record_json(df.schema).alias("j"), record_hash(df.schema, ["j"]).alias("h")).collect()
+    for r in got:
+        want = json.dumps({"zé": r["zé"], "B": r.B, "a": r.a, "d": r.d}, sort_keys=True, separators=(",", ":"))
+        assert r.j == want and r.h == hexed(want)
+    assert df.select(record_json(df.schema, ["d", "zé"]).alias("j")).first().j == '{"B":0,"a":null}'
+
+
+def brute(rows):
+    groups = {}
+    for k, m in rows:
+        groups.setdefault(k, [])
+        if m is not None:
+            groups[k].append(hexed(m))
+    return {k: (len(v), hexed("".join(sorted(v))) if v else "") for k, v in groups.items()}
+
+
+def test_group_fold(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "zz", None, str(rng.random())])) for _ in range(3000)]
+    rows += [("empty", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, m string")
+    got = {r.k: (r.members, r.fold) for r in group_fold(df, ["k"], F.col("m")).collect()}
+    assert got == brute(rows)
+    # Digests are sorted, not the members themselves.
+    two = spark.createDataFrame([(1, "b"), (1, "a")], "k int, m string")
+    assert group_fold(two, ["k"], F.col("m")).first().fold == hexed("".join(sorted([hexed("a"), hexed("b")])))
+
+
+def listing(items):
+    return hexed(",".join(f"{d}*{n}" for d, n, _ in sorted(items)))
+
+
+def brute_large(members, narrow_limit, wide_limit):
+    items = [(d, n, True) for d, n in Counter(hexed(m) for m in members).items()]
+    for prefix, limit in ((6, narrow_limit), (3, wide_limit)):
+        parts = {}
+        source = items if prefix == 6 else levels
+        for at, item in source if prefix == 3 else [(i[0], i) for i in items]:
+            parts.setdefault(at[:prefix], []).append(item)
+        levels = []
+        for at, part in parts.items():
+            if len(part) > limit:
+                part = [(listing(part), sum(n for _, n, _ in part), False)]
+            levels += [(at, item) for item in part]
+    return listing([item for _, item in levels])
+
+
+def test_large_groups_are_folded_by_parts(spark):
+    rng = random.Random(2)
+    members = [str(rng.randint(0, 9000)) for _ in range(20000)] + ["copy"] * 7000
+    rows = [("big", m) for m in members] + [("small", "x"), ("small", "x")]
+    df = spark.createDataFrame(rows, "k string, m string")
+    limits = dict(exact_members=100, narrow_limit=1, wide_limit=2)
+    got = {r.k: (r.members, r.fold) for r in group_fold(df, ["k"], F.col("m"), **limits).collect()}
+    assert got["small"] == (2, brute(rows)["small"][1])
+    assert got["big"] == (27000, brute_large(members, 1, 2))
+    shuffled = df.orderBy(F.rand(3)).repartition(7)
+    again = {r.k: (r.members, r.fold) for r in group_fold(shuffled, ["k"], F.col("m"), **limits).collect()}
+    assert again == got
+    fewer = df.where("m != 'copy'").union(df.where("m = 'copy'").limit(6999))
+    assert {r.k: r.fold for r in group_fold(fewer, ["k"], F.col("m"), **limits).collect()}["big"] != got["big"][1]
+
+
+def test_group_fold_exchanges(spark):
+    df = spark.range(10).selectExpr("id % 3 as k", "cast(id as string) m")
+    plan = group_fold(df, ["k"], F.col("m"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_snapshot_changes(spark):
+    old = [(1, "a", 1.0), (2, "b", None), (3, "c", 3.0), (5, "d", 1.0), (5, "d", 1.0), (6, "e", 0.0), (None, "n", 1.0), (7, "p", 1.0), (7, "q", 1.0)]
+    new = [(1, "a", 1.0), (2, "b", 2.0), (4, "c", 3.0), (5, "d", 1.0), (6, "e", 0.0), (None, "n", 1.0), (7, "q", 1.0), (7, "p", 1.0)]
+    schema = "k int, s string, v double"
+    out = snapshot_changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), ["k"])
+    assert {r.k: r.status for r in out.collect()} == {
+        1: "unchanged", 2: "changed", 3: "removed", 4: "added", 5: "changed", 6: "unchanged", None: "unchanged", 7: "unchanged"}
+    only = snapshot_changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), ["k"], ["s"])
+    assert {r.k: r.status for r in only.collect()}[2] == "unchanged"
+
+
+def test_nested_values_have_a_canonical_form(spark):
+    df = spark.sql("select array(1, null) a, named_struct('x', cast(null as int)) s, date'2020-01-02' d, "
+                   "timestamp_ntz'2020-01-02 03:04:05' t, cast(1.50 as decimal(10,2)) n, x'0aff' b")
+    assert isinstance(df.schema["a"].dataType, T.ArrayType)
+    assert df.select(record_json(df.schema)).first()[0] == (
+        '{"a":[1,null],"b":"0aff","d":"2020-01-02","n":1.50,"s":{"x":null},"t":"2020-01-02 03:04:05.000000"}')
