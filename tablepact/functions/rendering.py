@@ -69,7 +69,8 @@ def _render(
     digits = F.rtrim(significant, F.lit("0"))
     # Power of ten of the first significant digit.
     exponent = (
-        F.instr(mantissa, ".") - 2 - (F.length(run) - F.length(significant)) + shift
+        F.length(F.substring_index(mantissa, ".", 1)) - 1
+        - (F.length(run) - F.length(significant)) + shift
     )
     count = F.length(digits)
 

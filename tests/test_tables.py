@@ -30,7 +30,7 @@ def rows(spark, db, table):
 
 
 def names(spark, db):
-    return sorted(x.name for x in spark.catalog.listTables(db))
+    return sorted(x.name for x in spark.catalog.listTables(db) if not x.isTemporary)
 
 
 def test_replace(spark, db):
