@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.errors import ConformError
-from tablepact.functions.rendering import decimal_text, float_text, timestamp_text
+from tablepact.functions.rendering import decimal_text, float_text, named, timestamp_text
 from tablepact.sqltypes import SqlType
 
 # Accepted spellings of text on its way into a typed column.
@@ -125,23 +125,30 @@ def _text_to_decimal(text: Column, have: T.DataType, want: SqlType) -> tuple[Col
     short = text.rlike(rf"^[+-]?(?=\.?[0-9])[0-9]*\.?[0-9]{{0,{scale}}}\z") & (
         F.length(text) <= MAX_DECIMAL_DIGITS
     )
-    mantissa = F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1)
-    power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("int"),
-                       F.when(F.contains(F.lower(text), F.lit("e")), F.lit(None).cast("int"))
-                       .otherwise(F.lit(0)))
+    parts = F.struct(
+        F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1).alias("mantissa"),
+        # Without exponent 0, and null for one that no number has.
+        F.when(F.contains(F.lower(text), F.lit("e")),
+               F.regexp_extract(text, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("int"))
+        .otherwise(F.lit(0)).alias("power"),
+    )
+    exact = text.rlike(NUMBER_TEXT) & named(parts, lambda p: _fits_scale(p, scale))
+    return F.when(short | exact, text.try_cast(want.spark)), True
+
+
+def _fits_scale(parts: Column, scale: int) -> Column:
+    """Whether digits times a power of ten are whole at a scale."""
+    mantissa = parts["mantissa"]
     decimals = F.when(F.contains(mantissa, F.lit(".")),
                       F.length(mantissa) - F.instr(mantissa, ".")).otherwise(F.lit(0))
     digits = F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
     significant = F.rtrim(digits, F.lit("0"))
-    written_scale = decimals - power
+    written_scale = decimals - parts["power"]
     needed_scale = written_scale - (F.length(digits) - F.length(significant))
-    exact = (
-        text.rlike(NUMBER_TEXT)
-        & (written_scale >= -MAX_DECIMAL_DIGITS)
-        & ((significant == "")
-           | ((F.length(digits) <= MAX_DECIMAL_DIGITS) & (needed_scale <= scale)))
+    return (written_scale >= -MAX_DECIMAL_DIGITS) & (
+        (significant == "")
+        | ((F.length(digits) <= MAX_DECIMAL_DIGITS) & (needed_scale <= scale))
     )
-    return F.when(short | exact, text.try_cast(want.spark)), True
 
 
 def _text_to_timestamp(text: Column, have: T.DataType, want: SqlType) -> tuple[Column, bool]:

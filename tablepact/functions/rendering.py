@@ -6,6 +6,8 @@ form is plain inside a window of exponents and ``1e+10`` outside of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,95 +18,115 @@ JSON_PLAIN_FROM = -4
 JSON_PLAIN_BELOW = 16
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that it may use many times but that is computed once.
+
+    Without this, an expression repeats its inputs wherever it uses them, and a
+    deep one outgrows what the compiler of generated code accepts.
+    """
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def float_text(number: Column, single: bool = False) -> Column:
     """Shortest text of a float or double: ``1``, ``0.00001``, ``1e+10``, ``nan``."""
     return _render(
-        number, _shortest(number, single), TEXT_PLAIN_FROM, TEXT_PLAIN_BELOW,
-        exponent_digits=1, whole="",
+        number, single, TEXT_PLAIN_FROM, TEXT_PLAIN_BELOW, exponent_digits=1, whole="",
     )
 
 
 def float_json(number: Column) -> Column:
     """JSON text of a double: ``1.0``, ``1e-05``, ``1e+16``."""
     return _render(
-        number, _shortest(number, single=False), JSON_PLAIN_FROM, JSON_PLAIN_BELOW,
-        exponent_digits=2, whole=".0", special=("NaN", "Infinity"),
+        number, False, JSON_PLAIN_FROM, JSON_PLAIN_BELOW, exponent_digits=2, whole=".0",
+        special=("NaN", "Infinity"),
     )
 
 
-def _shortest(number: Column, single: bool) -> Column:
-    """Java's text of a number, cut to the fewest digits that still read back as it.
-
-    Java before 19 prints a digit too many for some numbers; only long texts are
-    tried again.
-    """
-    printed = number.cast("string")
-    longest, width, tiny = (9, "float", 1.2e-38) if single else (17, "double", 2.3e-308)
-    written = F.length(F.regexp_replace(F.substring_index(printed, "E", 1), "[-.]", ""))
-    tries = F.when((written < longest - 1) & ((F.abs(number) > tiny) | (number == 0)), printed)
-    for digits in (1, longest - 2, longest - 1):
-        attempt = F.upper(F.format_string(f"%.{digits - 1}e", number))
-        tries = tries.when(attempt.try_cast(width) == number, attempt)
-    return tries.otherwise(printed)
-
-
 def _render(
     number: Column,
-    printed: Column,
+    single: bool,
     plain_from: int,
     plain_below: int,
     exponent_digits: int,
     whole: str,
     special: tuple[str, str] = ("nan", "inf"),
 ) -> Column:
-    sign = F.when(printed.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    unsigned = F.ltrim(printed, F.lit("-"))
-    mantissa = F.substring_index(unsigned, "E", 1)
+    not_a_number, infinite = special
+    sign = F.when(number.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+
+    def body(parts: Column) -> Column:
+        digits, exponent = parts["digits"], parts["exponent"]
+        return (
+            F.when(digits == "", F.lit("0" + whole))
+            .when((exponent >= plain_from) & (exponent < plain_below), _plain(digits, exponent, whole))
+            .otherwise(_scientific(digits, exponent, exponent_digits))
+        )
+
+    written = named(
+        F.abs(number),
+        lambda size: named(_shortest(size, single), lambda text: named(_split(text), body)),
+    )
+    return (
+        F.when(F.isnan(number), F.lit(not_a_number))
+        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit(infinite)))
+        .otherwise(F.concat(sign, written))
+    )
+
+
+def _shortest(size: Column, single: bool) -> Column:
+    """Java's text of a number, cut to the fewest digits that still read back as it.
+
+    Java before 19 prints a digit too many for some numbers; only long texts, and
+    those of the smallest numbers, are tried again.
+    """
+    printed = size.cast("string")
+    longest, width, tiny = (9, "float", 1.2e-38) if single else (17, "double", 2.3e-308)
+    written = F.length(F.replace(F.substring_index(printed, "E", 1), F.lit("."), F.lit("")))
+    tries = F.when((written < longest - 1) & ((size > tiny) | (size == 0)), printed)
+    for digits in (1, longest - 2, longest - 1):
+        attempt = F.upper(F.format_string(f"%.{digits - 1}e", size))
+        tries = tries.when(attempt.try_cast(width) == size, attempt)
+    return tries.otherwise(printed)
+
+
+def _split(printed: Column) -> Column:
+    """Significant digits, and the power of ten of the first of them."""
+    mantissa = F.substring_index(printed, "E", 1)
     shift = F.when(
-        F.contains(unsigned, F.lit("E")),
-        F.substring_index(unsigned, "E", -1).try_cast("int"),
+        F.contains(printed, F.lit("E")), F.substring_index(printed, "E", -1).try_cast("int")
     ).otherwise(F.lit(0))
     run = F.replace(mantissa, F.lit("."), F.lit(""))
     significant = F.ltrim(run, F.lit("0"))
-    digits = F.rtrim(significant, F.lit("0"))
-    # Power of ten of the first significant digit.
     exponent = (
         F.length(F.substring_index(mantissa, ".", 1)) - 1
         - (F.length(run) - F.length(significant)) + shift
     )
-    count = F.length(digits)
+    return F.struct(F.rtrim(significant, F.lit("0")).alias("digits"), exponent.alias("exponent"))
 
-    plain = (
+
+def _plain(digits: Column, exponent: Column, whole: str) -> Column:
+    return (
         F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-        .when(exponent >= count - 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(whole)))
-        .otherwise(
-            F.concat(
-                F.substr(digits, F.lit(1), exponent + 1), F.lit("."),
-                F.substr(digits, exponent + 2),
-            )
+        .when(
+            exponent >= F.length(digits) - 1,
+            F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(whole)),
         )
+        .otherwise(F.concat(
+            F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)
+        ))
     )
+
+
+def _scientific(digits: Column, exponent: Column, exponent_digits: int) -> Column:
     power = F.abs(exponent).cast("string")
-    if exponent_digits > 1:
-        power = F.when(F.length(power) < exponent_digits,
-                       F.lpad(power, exponent_digits, "0")).otherwise(power)
-    scientific = F.concat(
+    return F.concat(
         F.substring(digits, 1, 1),
-        F.when(count > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")),
+        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2))))
+        .otherwise(F.lit("")),
         F.lit("e"),
         F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        power,
-    )
-    not_a_number, infinite = special
-    body = (
-        F.when(digits == "", F.lit("0" + whole))
-        .when((exponent >= plain_from) & (exponent < plain_below), plain)
-        .otherwise(scientific)
-    )
-    return (
-        F.when(F.isnan(number), F.lit(not_a_number))
-        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit(infinite)))
-        .otherwise(F.concat(sign, body))
+        F.when(F.length(power) < exponent_digits, F.lpad(power, exponent_digits, "0"))
+        .otherwise(power),
     )
 
 
