@@ -101,9 +101,12 @@ def _text_to_integer(text: Column, have: T.DataType, want: SqlType) -> tuple[Col
     bits = F.conv(F.substr(text, F.lit(3)), 16, -10).try_cast("bigint")
     if width == 8:
         bits = F.when(bits >= 2**31, bits - F.lit(2**32)).otherwise(bits).try_cast("int")
+    # Hex is told apart first: a failing parse is expensive.
     return (
-        F.when(parsed.isNotNull() & spelled, parsed)
-        .when(text.rlike(rf"^0[xX][0-9a-fA-F]{{1,{width}}}\z"), bits),
+        F.when(
+            F.lower(F.substring(text, 1, 2)) == "0x",
+            F.when(text.rlike(rf"^0[xX][0-9a-fA-F]{{1,{width}}}\z"), bits),
+        ).when(parsed.isNotNull() & spelled, parsed),
         True,
     )
 

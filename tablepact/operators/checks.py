@@ -23,6 +23,7 @@ from tablepact.errors import ConformError, PactError
 
 _VALUE = "__pact_value_"
 _FAILED = "__pact_failed_"
+_HERE = "__pact_here"
 
 REPORT_SCHEMA = "column_name string, rule string, violations bigint, max_length int"
 
@@ -80,7 +81,9 @@ class Checked:
                 column, value, failed if how.can_fail else None, value_error
             ))
         self.checks = [*record_checks, *casts, *values]
-        self._frame = source.select("*", *projected)
+        # A filter is not moved below a projection with a partition id, so a flag
+        # used in one reads the column computed here and does not compute it anew.
+        self._frame = source.select("*", *projected, F.spark_partition_id().alias(_HERE))
 
     def outputs(self) -> list[Expr]:
         """The declared columns, in declared order."""
@@ -119,7 +122,7 @@ class Checked:
             for check in reversed(self.checks):
                 message = F.lit(_inline_message(check))
                 refused = F.when(check.flag, F.raise_error(message).cast("boolean")).otherwise(refused)
-            frame = frame.where(refused)
+            frame = frame.where((F.col(_HERE) >= 0) & refused)
         return frame.select(*[
             _never_null(out, field) for out, field in zip(self.outputs(), struct_of(self.columns))
         ])
@@ -139,9 +142,9 @@ class Checked:
         reasons = F.array_compact(F.array(*[
             F.when(check.flag, F.lit(f"{check.column}:{check.rule}")) for check in self.checks
         ])) if self.checks else F.array().cast("array<string>")
-        judged = self._frame.withColumn("reasons", reasons)
-        passed = judged.where(F.size("reasons") == 0).select(*self.outputs())
-        failed = judged.where(F.size("reasons") > 0).select(
+        judged, here = self._frame.withColumn("reasons", reasons), F.col(_HERE) >= 0
+        passed = judged.where(here & (F.size("reasons") == 0)).select(*self.outputs())
+        failed = judged.where(here & (F.size("reasons") > 0)).select(
             *[F.col(_quoted(n)) for n in self.source.columns], "reasons"
         )
         return passed, failed

@@ -16,6 +16,8 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_FOLDER = "tablepact.suite.folder"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -43,6 +45,10 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 def use_tables(spark: SparkSession, sf_dir: str) -> None:
     """Name the parquet tables of a folder, so that reads can refer to them."""
     configure(spark)
+    named = spark.conf.get(_FOLDER, "")
+    if named == sf_dir and all(spark.catalog.tableExists(table) for table in TABLES):
+        return
+    spark.conf.set(_FOLDER, sf_dir)
     for table in TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
 
