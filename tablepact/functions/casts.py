@@ -123,9 +123,9 @@ def _text_to_double(text: Column, have: T.DataType, want: SqlType) -> tuple[Colu
 
 def _text_to_decimal(text: Column, have: T.DataType, want: SqlType) -> tuple[Column, bool]:
     scale = want.scale
-    # Written without exponent and with no more than `scale` decimals, nothing
-    # can be rounded; this is the path ordinary data takes.
-    short = text.rlike(rf"^[+-]?(?=\.?[0-9])[0-9]*\.?[0-9]{{0,{scale}}}\z") & (
+    # Written without exponent and with no more than `scale` decimals before zeros,
+    # nothing can be rounded; this is the path ordinary data takes.
+    short = text.rlike(rf"^[+-]?(?=\.?[0-9])[0-9]*\.?[0-9]{{0,{scale}}}0*\z") & (
         F.length(text) <= MAX_DECIMAL_DIGITS
     )
     parts = F.struct(

@@ -52,7 +52,25 @@ def _render(
     special: tuple[str, str] = ("nan", "inf"),
 ) -> Column:
     not_a_number, infinite = special
-    sign = F.when(number.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    printed = number.cast("string")
+    size, few = F.abs(number), F.length(F.substring_index(printed, "E", 1)) <= (8 if single else 16)
+    # Java writes the first plainly and the second with an exponent, as wanted here,
+    # and so few digits are the fewest. Numbers in between go digit by digit.
+    def limit(value: float) -> Column:
+        return F.lit(value).cast("float" if single else "double")
+
+    ordinary = few & (size >= limit(1e-3)) & (size < limit(1e7))
+    extreme = few & (
+        (size >= limit(float(f"1e{plain_below}"))) | (size < limit(float(f"1e{plain_from}")))
+    ) & (size >= limit(1.2e-38 if single else 2.3e-308))
+    usual = printed if whole else _without_zero(printed)
+    power = F.substring_index(printed, "E", -1)
+    shifted = F.concat(
+        _without_zero(F.substring_index(printed, "E", 1)),
+        F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+")),
+        _padded(F.ltrim(power, F.lit("-")), exponent_digits),
+    )
+    sign = F.when(printed.startswith("-"), F.lit("-")).otherwise(F.lit(""))
 
     def body(parts: Column) -> Column:
         digits, exponent = parts["digits"], parts["exponent"]
@@ -68,7 +86,9 @@ def _render(
     )
     return (
         F.when(F.isnan(number), F.lit(not_a_number))
-        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit(infinite)))
+        .when(size == float("inf"), F.concat(sign, F.lit(infinite)))
+        .when(ordinary, usual)
+        .when(extreme, shifted)
         .otherwise(F.concat(sign, written))
     )
 
@@ -118,18 +138,27 @@ def _plain(digits: Column, exponent: Column, whole: str) -> Column:
 
 
 def _scientific(digits: Column, exponent: Column, exponent_digits: int) -> Column:
-    power = F.abs(exponent).cast("string")
     return F.concat(
         F.substring(digits, 1, 1),
         F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2))))
         .otherwise(F.lit("")),
         F.lit("e"),
         F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.length(power) < exponent_digits, F.lpad(power, exponent_digits, "0"))
-        .otherwise(power),
+        _padded(F.abs(exponent).cast("string"), exponent_digits),
     )
 
 
+def _without_zero(text: Column) -> Column:
+    """``12`` for ``12.0``."""
+    return F.when(text.endswith(".0"), F.substr(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+
+
+def _padded(power: Column, digits: int) -> Column:
+    if digits == 1:
+        return power
+    return F.when(F.length(power) < digits, F.lpad(power, digits, "0")).otherwise(power)
+
+
 def decimal_text(number: Column, scale: int) -> Column:
     """Text of a decimal; tiny values of a deep scale take exponent form."""
     printed = number.cast("string")

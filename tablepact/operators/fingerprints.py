@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tablepact.functions.digests import byte_hash, record_hash
 
-# Digest prefixes that split a group, and how many digests a part
-# of it may list before it is folded into one.
-NARROW_PREFIX, NARROW_LIMIT = 6, 16
-WIDE_PREFIX, WIDE_LIMIT = 3, 64
+# How many bytes of a digest split a group into parts, how many
+# digests a part may list before it is folded, and the size up to which a group's
+# fold is the plain one.
+PART_BYTES, PART_LIMIT = 2, 16
 EXACT_MEMBERS = 100_000
 
 
@@ -23,51 +23,48 @@ def group_fold(
     member: Expr,
     *,
     exact_members: int = EXACT_MEMBERS,
-    narrow_limit: int = NARROW_LIMIT,
-    wide_limit: int = WIDE_LIMIT,
+    part_limit: int = PART_LIMIT,
 ) -> DataFrame:
     """Fingerprint of each group that does not depend on the order of its members.
 
     A group of up to ``exact_members`` gets SHA-256 over the sorted, concatenated
     hex digests of its members, and ``""`` if it has none. That formula needs all
-    digests in one place, so a larger group is folded part by part: digests are
-    split by prefix, and a part with more distinct digests than fit is replaced by
-    the fold of its ``digest*copies`` list. Equal groups still get equal folds.
+    digests in one place, so a larger group is folded in parts: the digests of one
+    part share their first bytes, and a part that lists more than ``part_limit``
+    different ones is replaced by the fold of its ``digest*copies`` list. Equal
+    groups still get equal folds.
 
-    Equal members are counted before anything is listed, and no task ever holds
-    more than a bounded list, whatever the share of rows in one group.
+    Equal members are counted before anything is listed, and a part holds one of
+    65,536 shares of its group, so no task gets a hot group whole.
     """
     by = [F.col(_quoted(key)) for key in keys]
-    copies = (
-        df.select(*by, byte_hash(member).alias("d"))
-        .groupBy(*by, F.substring("d", 1, WIDE_PREFIX).alias("wide"), "d")
-        .agg(F.count(F.lit(1)).alias("n"))
+    digests = df.select(*by, F.unhex(byte_hash(member)).alias("d"))
+    copies = digests.groupBy(*by, F.substring("d", 1, PART_BYTES).alias("part"), "d").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    listed = F.when(F.col("d").isNotNull(), F.struct("d", "n", F.lit(True).alias("whole")))
-    # One exchange serves both levels: the narrow parts lie inside the wide ones.
-    narrow = (
-        copies.repartition(*by, "wide")
-        .groupBy(*by, "wide", F.substring("d", 1, NARROW_PREFIX).alias("narrow"))
-        .agg(_members().alias("members"), F.collect_list(listed).alias("items"))
+    present = F.col("d").isNotNull()
+    parts = copies.groupBy(*by, "part").agg(
+        F.sum(F.when(present, F.col("n")).otherwise(F.lit(0))).alias("members"),
+        F.collect_list(F.when(present, F.struct("d", "n", F.lit(True).alias("whole")))).alias("items"),
     )
-    wide = (
-        narrow.groupBy(*by, "wide")
-        .agg(F.sum("members").alias("members"),
-             F.flatten(F.collect_list(_folded_beyond(narrow_limit))).alias("items"))
+    stand_in = F.struct(
+        F.unhex(_listing_hash(F.array_sort("items"))).alias("d"),
+        F.col("members").alias("n"),
+        F.lit(False).alias("whole"),
     )
-    whole = wide.groupBy(*by).agg(
+    listed = F.when(F.size("items") > part_limit, F.array(stand_in)).otherwise(F.col("items"))
+    groups = parts.groupBy(*by).agg(
         F.sum("members").alias("members"),
-        F.flatten(F.collect_list(_folded_beyond(wide_limit))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list(listed))).alias("items"),
     )
-    items = F.array_sort("items")
-    exact = byte_hash(F.array_join(
-        F.flatten(F.transform(items, lambda i: F.array_repeat(i["d"], i["n"].cast("int")))), ""
-    ))
+    exact = byte_hash(F.array_join(F.flatten(F.transform(
+        "items", lambda i: F.array_repeat(F.lower(F.hex(i["d"])), i["n"].cast("int"))
+    )), ""))
     fits = (F.col("members") <= exact_members) & F.forall("items", lambda i: i["whole"])
-    return whole.select(
+    return groups.select(
         *by, "members",
         F.when(F.col("members") == 0, F.lit(""))
-        .when(fits, exact).otherwise(_listing_hash(items)).alias("fold"),
+        .when(fits, exact).otherwise(_listing_hash(F.col("items"))).alias("fold"),
     )
 
 
@@ -107,23 +104,11 @@ def snapshot_changes(
     return found.select(*by, status.alias("status"))
 
 
-def _members() -> Expr:
-    return F.sum(F.when(F.col("d").isNull(), F.lit(0)).otherwise(F.col("n")))
-
-
-def _folded_beyond(limit: int) -> Expr:
-    """The items of a part, or one item standing for all of them."""
-    stand_in = F.struct(
-        _listing_hash(F.array_sort("items")).alias("d"),
-        F.col("members").alias("n"),
-        F.lit(False).alias("whole"),
-    )
-    return F.when(F.size("items") > limit, F.array(stand_in)).otherwise(F.col("items"))
-
-
 def _listing_hash(items: Expr) -> Expr:
     return byte_hash(F.array_join(
-        F.transform(items, lambda i: F.concat(i["d"], F.lit("*"), i["n"].cast("string"))), ","
+        F.transform(
+            items, lambda i: F.concat(F.lower(F.hex(i["d"])), F.lit("*"), i["n"].cast("string"))
+        ), ",",
     ))
 
 

@@ -1 +1 @@
-
+"""Nothing: contracts describe bounded tables that are replaced as a whole."""

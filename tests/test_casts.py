@@ -132,7 +132,7 @@ def test_floats(spark):
         check(spark, [v for v in values if v != 2.0**63], pa.float64(), T.DoubleType(), target)
     assert spark_results(spark, [2.0**63, -2.0**63], T.DoubleType(), "BIGINT") == [BAD, -2**63]
     singles = [struct.unpack("f", struct.pack("f", v))[0] for v in
-               (0.1, 1.0, 1e10, 16777216.0, 3.4e38, 1e-7, 123.456, 1e-45)]
+               (0.1, 1.0, 1e10, 16777216.0, 3.4e38, 1e-7, 123.456, 1e-45, 1e-6, 1e-3, 1e7, 9999999.0, 9.99e-7, 0.00123, 1e9, -2.5e12)]
     check(spark, singles, pa.float32(), T.FloatType(), "TEXT")
 
 

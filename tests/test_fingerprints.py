@@ -17,7 +17,8 @@ def hexed(text):
 
 
 def test_byte_and_text_hash(spark):
-    texts = ["", " a  b ", "select id\n  from   t", "\u00a0x\u3000y\x1cz\u2028", "a\u200bb", "\ttab\x0b\x85", "é😀", None]
+    texts = ["", " a  b ", "select id\n  from   t", "\u00a0x\u3000y\x1cz\u2028", "a\u200bb", "\ttab\x0b\x85", "é😀", None,
+             "\x02a\x03  b", "“q”  ’ \n x", "\u2003", "   ", "a" + " " * 33 + "b\r\n\r\nc", "\x1d\x1e\x1fz"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
     for r in df.select("i", "s", byte_hash(F.col("s")).alias("b"), text_hash(F.col("s")).alias("t")).collect():
         assert r.b == (None if r.s is None else hexed(r.s))
@@ -70,19 +71,14 @@ def listing(items):
     return hexed(",".join(f"{d}*{n}" for d, n, _ in sorted(items)))
 
 
-def brute_large(members, narrow_limit, wide_limit):
-    items = [(d, n, True) for d, n in Counter(hexed(m) for m in members).items()]
-    for prefix, limit in ((6, narrow_limit), (3, wide_limit)):
-        parts = {}
-        source = items if prefix == 6 else levels
-        for at, item in source if prefix == 3 else [(i[0], i) for i in items]:
-            parts.setdefault(at[:prefix], []).append(item)
-        levels = []
-        for at, part in parts.items():
-            if len(part) > limit:
-                part = [(listing(part), sum(n for _, n, _ in part), False)]
-            levels += [(at, item) for item in part]
-    return listing([item for _, item in levels])
+def brute_large(members, limit):
+    parts = {}
+    for d, n in Counter(hexed(m) for m in members).items():
+        parts.setdefault(d[:4], []).append((d, n, True))
+    items = []
+    for part in parts.values():
+        items += part if len(part) <= limit else [(listing(part), sum(n for _, n, _ in part), False)]
+    return listing(items)
 
 
 def test_large_groups_are_folded_by_parts(spark):
@@ -90,10 +86,10 @@ def test_large_groups_are_folded_by_parts(spark):
     members = [str(rng.randint(0, 9000)) for _ in range(20000)] + ["copy"] * 7000
     rows = [("big", m) for m in members] + [("small", "x"), ("small", "x")]
     df = spark.createDataFrame(rows, "k string, m string")
-    limits = dict(exact_members=100, narrow_limit=1, wide_limit=2)
+    limits = dict(exact_members=100, part_limit=1)
     got = {r.k: (r.members, r.fold) for r in group_fold(df, ["k"], F.col("m"), **limits).collect()}
     assert got["small"] == (2, brute(rows)["small"][1])
-    assert got["big"] == (27000, brute_large(members, 1, 2))
+    assert got["big"] == (27000, brute_large(members, 1))
     shuffled = df.orderBy(F.rand(3)).repartition(7)
     again = {r.k: (r.members, r.fold) for r in group_fold(shuffled, ["k"], F.col("m"), **limits).collect()}
     assert again == got
