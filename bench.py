@@ -11,6 +11,7 @@ import os
 import statistics
 import sys
 import time
+import uuid
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -58,8 +59,9 @@ def conform_and_replace_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_then_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = fresh_schema(spark, "bench_twice")
     violation_report(spark.table("lineitem"), LINEITEM).collect()
-    conform(spark.table("lineitem"), LINEITEM).write.saveAsTable(f"{db}.lineitem")
-    return spark.table(f"{db}.lineitem").limit(0)
+    name = f"{db}.lineitem_{uuid.uuid4().hex}"
+    conform(spark.table("lineitem"), LINEITEM).write.saveAsTable(name)
+    return spark.table(name).limit(0)
 
 
 _FOLDERS: dict[str, str] = {}

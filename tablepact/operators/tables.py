@@ -37,8 +37,9 @@ _NAME = re.compile(r"[A-Za-z0-9_]+", re.ASCII)
 _RAISED = re.compile(r"\b(ConformError|LoadError|ReadError|ScriptError): ([^\n]*)")
 _RAISED_CLASSES = {c.__name__: c for c in (ConformError, LoadError, ReadError, ScriptError)}
 
-# What is remembered with a table, and the declared type of a Spark type.
-VERSION_KEY, COLUMNS_KEY, CONFIG_KEY = "pact.version", "pact.columns", "pact.config"
+# What is remembered with a table, in pieces that any metastore takes,
+# and the declared type of a Spark type.
+KEPT_KEY, KEPT_PIECE = "pact.table", 3500
 _DECLARED = {
     T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE PRECISION",
     T.StringType: "TEXT", T.TimestampNTZType: "TIMESTAMP", T.DateType: "DATE",
@@ -87,14 +88,16 @@ def describe(spark: SparkSession, schema: str, table: str) -> Table:
     name = _qualified(schema, table)
     if not spark.catalog.tableExists(f"{schema}.{table}"):
         return Table(schema, table, exists=False)
-    kept = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
-    if VERSION_KEY not in kept:
-        return Table(schema, table, columns=_columns_of_schema(spark.table(name).schema))
-    columns = json.loads(kept[COLUMNS_KEY])
-    return Table(
-        schema, table, kept[VERSION_KEY], columns_of(columns) if columns else None,
-        json.loads(kept[CONFIG_KEY]),
+    properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    pieces = sorted(
+        (int(key.rpartition(".")[2]), value) for key, value in properties.items()
+        if key.startswith(KEPT_KEY + ".")
     )
+    if not pieces:
+        return Table(schema, table, columns=_columns_of_schema(spark.table(name).schema))
+    kept = json.loads("".join(value for _, value in pieces))
+    columns = columns_of(kept["columns"]) if kept["columns"] else None
+    return Table(schema, table, kept["version"], columns, kept["config"])
 
 
 def read_slice(
@@ -104,12 +107,13 @@ def read_slice(
     can hold them, also where the table is partitioned by a derived value."""
     state = describe(spark, schema, table)
     if state.version is None:
-        return spark.table(_qualified(schema, table)).where(f"`{column}` IS NOT NULL").where(
+        return spark.table(_qualified(schema, table)).where(
             slice_filter(Layout(), column, lower, upper)
         )
     rows = spark.table(_qualified(schema, state.version))
     kept = rows.where(slice_filter(state.layout, column, lower, upper))
-    return kept.select(*[f"`{c.name}`" for c in state.columns])
+    names = [c.name for c in state.columns] if state.columns else rows.columns
+    return kept.select(*["`" + name.replace("`", "``") + "`" for name in names])
 
 
 # -- empty builds -------------------------------------------------------------
@@ -266,12 +270,15 @@ def _publish(
     name, before = _qualified(schema, table), describe(spark, schema, table)
     names = [c.name for c in columns] if columns else spark.table(_qualified(schema, version)).columns
     listed = ", ".join("`" + n.replace("`", "``") + "`" for n in names)
-    kept = {
-        VERSION_KEY: version,
-        COLUMNS_KEY: json.dumps([c.as_dict() for c in columns] if columns else None),
-        CONFIG_KEY: json.dumps(dict(config) if config else None),
-    }
-    properties = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in kept.items())
+    kept = json.dumps({
+        "version": version,
+        "columns": [c.as_dict() for c in columns] if columns else None,
+        "config": dict(config) if config else None,
+    })
+    properties = ", ".join(
+        f"'{KEPT_KEY}.{i}' = {_literal(kept[at:at + KEPT_PIECE])}"
+        for i, at in enumerate(range(0, len(kept), KEPT_PIECE))
+    )
     statement = (
         f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ({properties}) "
         f"AS SELECT {listed} FROM {_qualified(schema, version)}"

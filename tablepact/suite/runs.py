@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,14 +91,14 @@ select 1, 'error', 'ConformError: dataframe is missing column(s): [''amount'']',
 def run_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per run, good or bad; failed runs leave the table as it was."""
     db = fresh_schema(spark, "run_log")
+    log = f"{db}.runs_{uuid.uuid4().hex}"
     for script in (
         _script,
         lambda ctx: _script(ctx).withColumn("order_id", F.expr("nullif(order_id, 5)")),
         lambda ctx: _script(ctx).drop("amount"),
     ):
-        run_contract(spark, _contract(db), script, run_log=f"{db}.runs")
-    after = spark.table(f"{db}.example").agg(F.count("*").alias("rows_after"))
-    return spark.table(f"{db}.runs").join(F.broadcast(after))
+        run_contract(spark, _contract(db), script, run_log=log)
+    return spark.sql(f"select *, (select count(*) from {db}.example) as rows_after from {log}")
 
 
 @query("""

@@ -250,6 +250,14 @@ def test_refused_layouts(config):
         parse_layout(config, EVENTS)
 
 
+def test_wide_tables_are_remembered_in_pieces(spark, db):
+    columns = [Column(f"a_rather_long_column_name_{i}'\\_%", "VARCHAR(100)", i % 2 == 0) for i in range(300)]
+    t.ensure_table(spark, db, "w", columns)
+    assert t.describe(spark, db, "w").columns == tuple(columns)
+    kept = spark.sql(f"show tblproperties {db}.w").collect()
+    assert max(len(r.value) for r in kept if r.key.startswith("pact")) <= 3500
+
+
 def test_avro_needs_its_package(spark, db):
     with pytest.raises(LoadError, match="(?i)avro"):
         t.ensure_table(spark, db, "a", PLAIN, config={"format": "avro"})
