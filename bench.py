@@ -93,6 +93,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("tablepact-bench")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", "12g")

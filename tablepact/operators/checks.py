@@ -67,13 +67,13 @@ class Checked:
     ) -> None:
         self.source = source
         self.columns = tuple(columns)
-        projected, casts, values = [], [], []
+        projected, flags, casts, values = [], [], [], []
         for i, column in enumerate(self.columns):
             how = converted[column.name]
             projected.append(how.value.alias(f"{_VALUE}{i}"))
             value, failed = F.col(f"{_VALUE}{i}"), F.lit(False)
             if how.can_fail:
-                projected.append((how.given.isNotNull() & how.value.isNull()).alias(f"{_FAILED}{i}"))
+                flags.append((how.given.isNotNull() & value.isNull()).alias(f"{_FAILED}{i}"))
                 failed = F.col(f"{_FAILED}{i}")
                 text = cast_text.format(name=_braced(column.name), type=column.type)
                 casts.append(Check(column.name, "cast", failed, cast_error, text))
@@ -83,7 +83,8 @@ class Checked:
         self.checks = [*record_checks, *casts, *values]
         # A filter is not moved below a projection with a partition id, so a flag
         # used in one reads the column computed here and does not compute it anew.
-        self._frame = source.select("*", *projected, F.spark_partition_id().alias(_HERE))
+        here = F.spark_partition_id().alias(_HERE)
+        self._frame = source.select("*", *projected, here).select("*", *flags)
 
     def outputs(self) -> list[Expr]:
         """The declared columns, in declared order."""
@@ -118,11 +119,11 @@ class Checked:
         """The declared table, lazily: a bad row fails the job that reaches it."""
         frame = self._frame
         if self.checks:
-            refused = F.lit(True)
-            for check in reversed(self.checks):
-                message = F.lit(_inline_message(check))
-                refused = F.when(check.flag, F.raise_error(message).cast("boolean")).otherwise(refused)
-            frame = frame.where((F.col(_HERE) >= 0) & refused)
+            passed = F  # One flat case, in the order of the checks.
+            for check in self.checks:
+                stop = F.raise_error(F.lit(_inline_message(check))).cast("boolean")
+                passed = passed.when(check.flag, stop)
+            frame = frame.where((F.col(_HERE) >= 0) & passed.otherwise(F.lit(True)))
         return frame.select(*[
             _never_null(out, field) for out, field in zip(self.outputs(), struct_of(self.columns))
         ])

@@ -234,7 +234,7 @@ def _replace(spark: SparkSession, state: Table, checked: Checked) -> int:
         _drop_quietly(spark, name)
         if isinstance(exc, PactError):
             raise
-        raise _as_pact_error(exc, f"failed to write {state.schema}.{state.table}") from exc
+        raise as_pact_error(exc, f"failed to write {state.schema}.{state.table}") from exc
     return rows
 
 
@@ -255,7 +255,7 @@ def _publish_new(
         _drop_quietly(spark, _qualified(schema, version))
         if isinstance(exc, PactError):
             raise
-        raise _as_pact_error(exc, f"failed to build {schema}.{table}") from exc
+        raise as_pact_error(exc, f"failed to build {schema}.{table}") from exc
 
 
 def _publish(
@@ -307,7 +307,7 @@ def _take_over(spark: SparkSession, schema: str, table: str, statement: str) ->
     _drop_quietly(spark, aside)
 
 
-def _as_pact_error(exc: Exception, what: str) -> PactError:
+def as_pact_error(exc: Exception, what: str) -> PactError:
     """The failure a job ended with: a check that raised in it, or the write itself."""
     raised = _RAISED.search(str(exc))
     if raised:

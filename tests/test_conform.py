@@ -5,6 +5,7 @@ import logging
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.contract import Column
@@ -127,6 +128,18 @@ def test_checks_are_one_pass_and_prune_columns(spark, tmp_path):
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
+def test_wide_tables(spark):
+    columns = [Column(f"c{i}", ("INTEGER", "VARCHAR(3)", "NUMERIC(10,2)")[i % 3], False) for i in range(90)]
+    df = spark.range(50).select(*[
+        (F.col("id") + i if i % 3 == 0 else F.lit("1.5")).cast("string").alias(c.name) for i, c in enumerate(columns)])
+    assert conform(df, columns).count() == 50
+    assert violation_report(df, columns).where("violations > 0").count() == 0
+    bad = df.withColumn("c80", F.lit("1.555")).withColumn("c40", F.lit("long"))
+    with pytest.raises(Exception, match="ConformError: column c80"):
+        conform(bad, columns).collect()
+    assert quarantine(bad, columns)[1].first().reasons == ["c80:cast", "c40:length"]
+
+
 def test_unique_violations(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c")], "k int, `v w` string")
     assert [tuple(r) for r in unique_violations(df, ["k", "v w"]).collect()] == [(1, "a", 2)]
