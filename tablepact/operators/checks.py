@@ -23,6 +23,7 @@ from tablepact.errors import ConformError, PactError
 
 _VALUE = "__pact_value_"
 _FAILED = "__pact_failed_"
+_GIVEN = "__pact_given_"
 _HERE = "__pact_here"
 
 REPORT_SCHEMA = "column_name string, rule string, violations bigint, max_length int"
@@ -73,7 +74,8 @@ class Checked:
             projected.append(how.value.alias(f"{_VALUE}{i}"))
             value, failed = F.col(f"{_VALUE}{i}"), F.lit(False)
             if how.can_fail:
-                flags.append((how.given.isNotNull() & value.isNull()).alias(f"{_FAILED}{i}"))
+                projected.append(how.given.isNotNull().alias(f"{_GIVEN}{i}"))
+                flags.append((F.col(f"{_GIVEN}{i}") & value.isNull()).alias(f"{_FAILED}{i}"))
                 failed = F.col(f"{_FAILED}{i}")
                 text = cast_text.format(name=_braced(column.name), type=column.type)
                 casts.append(Check(column.name, "cast", failed, cast_error, text))
@@ -84,7 +86,7 @@ class Checked:
         # A filter is not moved below a projection with a partition id, so a flag
         # used in one reads the column computed here and does not compute it anew.
         here = F.spark_partition_id().alias(_HERE)
-        self._frame = source.select("*", *projected, here).select("*", *flags)
+        self._frame = source.select("*", *projected).select("*", *flags, here)
 
     def outputs(self) -> list[Expr]:
         """The declared columns, in declared order."""
@@ -119,11 +121,14 @@ class Checked:
         """The declared table, lazily: a bad row fails the job that reaches it."""
         frame = self._frame
         if self.checks:
-            passed = F  # One flat case, in the order of the checks.
-            for check in self.checks:
-                stop = F.raise_error(F.lit(_inline_message(check))).cast("boolean")
-                passed = passed.when(check.flag, stop)
-            frame = frame.where((F.col(_HERE) >= 0) & passed.otherwise(F.lit(True)))
+            # The messages stay out of the generated loop, which is compiled to
+            # machine code only while it is small.
+            messages = F.array_compact(F.array(*[
+                F.when(check.flag, F.lit(_inline_message(check))) for check in self.checks
+            ]))
+            stop = F.raise_error(messages.getItem(0)).cast("boolean")
+            broken = _any([check.flag for check in self.checks])
+            frame = frame.where((F.col(_HERE) >= 0) & F.when(broken, stop).otherwise(F.lit(True)))
         return frame.select(*[
             _never_null(out, field) for out, field in zip(self.outputs(), struct_of(self.columns))
         ])
@@ -187,6 +192,14 @@ def _value_checks(
     return checks
 
 
+def _any(flags: Sequence[Expr]) -> Expr:
+    """Whether one of the flags is set, as a tree that stays shallow."""
+    if len(flags) == 1:
+        return flags[0]
+    half = len(flags) // 2
+    return _any(flags[:half]) | _any(flags[half:])
+
+
 def _inline_message(check: Check) -> str:
     text = check.text.format(count="some", longest="of a row")
     return f"{check.error.__name__}: {text}"
