@@ -59,3 +59,55 @@ def quality_steps(documents: str = "documents") -> str:
 def quality() -> str:
     return f"""with {quality_steps()}
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged"""
+
+
+# The patterns as RE2 takes them, and each kind's test of a match m.
+_DIGITS = "regexp_replace(s.m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: case when (len({_DIGITS}) - i) % 2 = 0
+    then {_DIGITS}[i]::int else {_DIGITS}[i]::int * 2 - case when {_DIGITS}[i] >= '5' then 9 else 0 end end)) % 10 = 0"""
+_TURNED = "replace(s.m, ' ', '')[5:] || replace(s.m, ' ', '')[1:4]"
+_MOD97 = f"""list_reduce(list_prepend(0::hugeint, list_transform(string_split({_TURNED}, ''), lambda c:
+    case when c between '0' and '9' then 1000 + ascii(c) - 48 else 2000 + ascii(c) - 55 end::hugeint)),
+    lambda a, d: case when d >= 2000 then (a * 100 + d - 2000) % 97 else (a * 10 + d - 1000) % 97 end) = 1"""
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.5, True),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+           "len(list_filter(string_split(s.m, '.'), lambda p: len(ltrim(p, '0')) > 3 or coalesce(try_cast(ltrim(p, '0') as int), 0) > 255)) = 0", 0.5, True),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) between 13 and 19 and {_LUHN}", 0.9, True),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) between 9 and 15", 0.5, True),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"len(replace(s.m, ' ', '')) between 15 and 34 and {_MOD97}", 0.9, False),
+    "ssn": (r"[0-9]+-[0-9]+-[0-9]+",
+            "regexp_matches(s.m, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') and not regexp_matches(s.m, '^(000|666|9)|-00-|-0000$')", 0.5, False),
+}
+
+
+def pii_steps(documents: str = "documents") -> str:
+    """Common table expressions up to ``found``: a row per span; ``p_docs`` numbers the rows."""
+    from tablepact.llm.pii import KINDS, NEAR, REPORTED
+
+    context = {k.name: k.context for k in KINDS}
+    parts = []
+    for at, (kind, (pattern, valid, score, base)) in enumerate(_SQL_KINDS.items()):
+        parts.append(rf"""
+        select r, {at} as nth, '{kind}' as kind, {str(base).lower()} as base, s.a as a, s.b as b,
+            {score} + case when regexp_matches(lower(s.near), '{context[kind]}') or regexp_matches(lower(t[s.b + 1:s.b + {NEAR}]), '{context[kind]}')
+                then 0.2 else 0 end as score
+        from (select r, t, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
+                'm': found[i], 'near': right(gaps[i], {NEAR}),
+                'a': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0),
+                'b': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i], lambda g: length(g))), 0)}})) as s
+            from (select r, t, regexp_extract_all(t, '{pattern}') as found, string_split_regex(t, '{pattern}') as gaps from p_docs
+                where regexp_matches(t, '{pattern}')))
+        where {valid}""")
+    return f"""
+    p_docs as (select row_number() over () as r, coalesce(text, '') as t, * from {documents}),
+    found as (select *, kind || ':' || a || ':' || b as said from ({' union all '.join(parts)}) where base or score >= {REPORTED})"""
+
+
+def pii() -> str:
+    return f"""with {pii_steps()}
+    select doc_id, {', '.join(f"count(said) filter (kind = '{kind}') as n_{kind}" for kind in _SQL_KINDS)},
+        count(said) filter (score > 0.6) as n_confirmed,
+        sha256(coalesce(string_agg(said, ',' order by nth, a) filter (base), '')) as base_sha256,
+        coalesce(string_agg(said, ',' order by nth, a), '') as spans
+    from p_docs left join found using (r) group by r, doc_id"""

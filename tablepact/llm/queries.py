@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.llm import oracles
 from tablepact.llm.common import table
+from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_quality_rules,)}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("spans")
 
-ORACLES: dict[str, str] = {"op5_quality_rules": oracles.quality()}
+    def of(*kinds: str) -> Column:
+        return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+    return with_spans(docs, "text", "spans").select(
+        "doc_id",
+        *[F.size(of(k.name)).cast("bigint").alias(f"n_{k.name}") for k in KINDS],
+        F.size(F.filter(spans, lambda s: s["score"] > 0.6)).cast("bigint").alias("n_confirmed"),
+        F.sha2(spans_text(of(*[k.name for k in KINDS if k.base])), 256).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pii, op5_quality_rules)}
+
+ORACLES: dict[str, str] = {"op4_pii": oracles.pii(), "op5_quality_rules": oracles.quality()}
