@@ -111,3 +111,55 @@ def pii() -> str:
         sha256(coalesce(string_agg(said, ',' order by nth, a) filter (base), '')) as base_sha256,
         coalesce(string_agg(said, ',' order by nth, a), '') as spans
     from p_docs left join found using (r) group by r, doc_id"""
+
+
+def decontamination_steps(documents: str = "documents") -> str:
+    """Common table expressions up to ``held``: a row per distinct document and item it holds."""
+    from tablepact.llm import decontaminate as d
+
+    marks = "".join((d.NUMBER, d.NAME, d.UNIT))
+
+    def steps(source: str, name: str, key: str) -> str:
+        numbered = f"regexp_replace(t, '{d.NUMBERS}', ' {d.NUMBER} ', 'g')"
+        united = rf"regexp_replace(n, '{d.UNITS}', '\1 {d.UNIT} ', 'g')"
+        named = rf"regexp_replace(u, '{d.NAMES}', '\1 {d.NAME} ', 'g')"
+        return rf"""
+    {name}_1 as (select {key} as k, coalesce(text, '') as t, count(*) as copies from {source} group by all),
+    {name}_2 as (select *, row_number() over () as r, {numbered} as n from {name}_1),
+    {name}_3 as (select *, {united} as u from {name}_2),
+    {name}_4 as (select *, {WORDS.format(rf"regexp_replace(lower({named}), '[^\p{{L}}\p{{N}}{marks}\x20\x09-\x0D]+', '', 'g')")} as w,
+        list_transform(regexp_extract_all(t, '({d.NUMBERS}|{d.NUMBER})'), lambda v: v) as v0,
+        list_transform(regexp_extract_all(n, '{d.UNITS}|({d.UNIT})', 2), lambda v: lower(v)) as v1,
+        list_transform(regexp_extract_all(u, '{d.NAMES}|{d.NAME}'), lambda v: lower(regexp_extract(v, '\p{{Lu}}.*$'))) as v2 from {name}_3),
+    {name}_slots as ({' union all '.join(f'''select r, a - 1 as slot, {i} as kind, v{i}[row_number() over (partition by r order by a)] as value
+        from (select r, v{i}, unnest(w) as token, generate_subscripts(w, 1) as a from {name}_4) where token = '{m}' '''
+        for i, m in enumerate((d.NUMBER, d.UNIT, d.NAME)))})"""
+
+    return rf"""{steps(documents, 'dd', 'doc_id')},{steps('benchmark', 'bb', 'item_id')},
+    bb_windows as (select *, count(distinct item_at) over (partition by k) as of_item from (
+        select r, k, width, item_at, w[item_at + 1:item_at + width] as g from (
+            select r, k, w, least({d.WIDTH}, len(w)) as width, unnest(range(0, len(w) - least({d.WIDTH}, len(w)) + 1)) as item_at
+            from bb_4 where len(w) >= {d.SHORTEST} and k is not null))
+        where len(list_filter(g, lambda x: not contains('{marks}', x))) >= {d.LITERAL}),
+    dd_windows as (select r, width, doc_at, w[doc_at + 1:doc_at + width] as g from (
+        select r, w, width, unnest(range(0, len(w) - width + 1)) as doc_at from dd_4, (select distinct width from bb_windows) where len(w) >= width)),
+    hits as (select d.r, b.r as i, item_at, doc_at - item_at as shift, b.width, of_item from dd_windows d join bb_windows b using (width, g)),
+    asked as (select distinct h.r, i, shift, s.slot + shift as slot, s.kind, s.value from hits h join bb_slots s on s.r = h.i
+        and s.slot between h.item_at and h.item_at + h.width - 1),
+    answers as (select a.r, a.i, shift, a.kind, a.value, count(distinct s.value) as n_values, count(*) as slots,
+        count(*) filter (lower(s.value) <> lower(a.value)) as changed
+        from asked a join dd_slots s on s.r = a.r and s.slot = a.slot and s.kind = a.kind group by all),
+    offsets as (select r, i, shift, sum(slots) as slots, sum(changed) as changed,
+        count(*) filter (n_values = 1) >= {d.CONSISTENT} * count(*) as consistent from answers group by all),
+    covered as (select r, i, count(distinct item_at) as n_windows, max(of_item) as item_windows
+        from hits h where not exists (select 1 from offsets o where o.r = h.r and o.i = h.i and o.shift = h.shift and not consistent)
+        group by r, i having count(distinct item_at) >= {d.COVERED} * max(of_item)),
+    held as (select dd_4.k as doc_id, dd_4.t, bb_4.k as item_id, n_windows, item_windows,
+        coalesce((select sum(slots) from offsets o where o.r = c.r and o.i = c.i and consistent), 0)::bigint as n_slots,
+        coalesce((select sum(changed) from offsets o where o.r = c.r and o.i = c.i and consistent), 0)::bigint as n_changed, dd_4.copies
+        from covered c join dd_4 on dd_4.r = c.r join bb_4 on bb_4.r = c.i)"""
+
+
+def decontamination() -> str:
+    return f"""with {decontamination_steps()}
+    select doc_id, item_id, n_windows, item_windows, n_slots, n_changed, copies from held"""

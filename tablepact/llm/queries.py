@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablepact.llm import oracles
 from tablepact.llm.common import table
+from tablepact.llm.decontaminate import contained_items
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 
@@ -42,6 +43,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pii, op5_quality_rules)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contained_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"),
+                        "n_windows", "item_windows", "n_slots", "n_changed", "copies")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pii, op5_quality_rules, op7_decontamination)}
 
-ORACLES: dict[str, str] = {"op4_pii": oracles.pii(), "op5_quality_rules": oracles.quality()}
+ORACLES: dict[str, str] = {
+    "op4_pii": oracles.pii(),
+    "op5_quality_rules": oracles.quality(),
+    "op7_decontamination": oracles.decontamination(),
+}
