@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tablepact.llm import oracles
 from tablepact.llm.common import table
 from tablepact.llm.decontaminate import contained_items
+from tablepact.llm.jaccard import linked_documents
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
+from tablepact.llm.sharding import placed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +52,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_windows", "item_windows", "n_slots", "n_changed", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pii, op5_quality_rules, op7_decontamination)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return placed(docs, "doc_id", [f"shard-{i:03d}" for i in range(256)])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op4_pii, op5_quality_rules, op7_decontamination, op9_jaccard_join, op10_sharding,
+)}
 
 ORACLES: dict[str, str] = {
     "op4_pii": oracles.pii(),
