@@ -101,8 +101,9 @@ def _verified(docs: DataFrame, classes: DataFrame, met: DataFrame, key: str, tex
         "root", "class", "copies", "blocks", F.col("first.doc").alias("doc"), F.col("first.print").alias("print"),
         F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")), "jaccard-wanted")
     source = docs.select(F.col(key).alias("_doc"), text_of(text).alias("_t"))
+    # A merge join at every size: whether the wanted rows could be broadcast must not change the plan.
     held = source.join(
-        wanted, source["_doc"].eqNullSafe(wanted["doc"]) & (F.xxhash64(source["_t"]) == wanted["print"]))
+        wanted.hint("merge"), source["_doc"].eqNullSafe(wanted["doc"]) & (F.xxhash64(source["_t"]) == wanted["print"]))
     held = held.select("root", "class", "copies", "blocks", "block", F.col("_t").cast("binary").alias("t"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

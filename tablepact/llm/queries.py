@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tablepact.llm.jaccard import linked_documents
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 from tablepact.llm.sharding import placed
+from tablepact.llm.tokens import encoded_by_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +47,24 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(encoded_by_words(docs, tokenizer()))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        F.col("doc").alias("doc_id"), (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The public tokenizer's file, read where the driver runs and sent with the tasks."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contained_items(docs, table(spark, sf_dir, "benchmark"))
@@ -62,7 +82,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op4_pii, op5_quality_rules, op7_decontamination, op9_jaccard_join, op10_sharding,
+    op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op9_jaccard_join, op10_sharding,
 )}
 
 ORACLES: dict[str, str] = {
