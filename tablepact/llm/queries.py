@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,7 +16,9 @@ from tablepact.llm.jaccard import linked_documents
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 from tablepact.llm.sharding import placed
+from tablepact.llm.tokenfiles import read_token_files, write_token_files
 from tablepact.llm.tokens import encoded_by_words
+from tablepact.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +75,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_windows", "item_windows", "n_slots", "n_changed", "copies")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer())
+    return read_token_files(spark, path).select(
+        F.col("key").alias("doc_id"), "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -82,7 +93,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op9_jaccard_join, op10_sharding,
+    op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
 )}
 
 ORACLES: dict[str, str] = {
