@@ -13,6 +13,7 @@ from tablepact.llm import oracles
 from tablepact.llm.common import table
 from tablepact.llm.decontaminate import contained_items
 from tablepact.llm.jaccard import linked_documents
+from tablepact.llm.lmscore import scored
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 from tablepact.llm.sharding import placed
@@ -34,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("spans")
@@ -93,7 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
+    op3_lm_scoring, op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
 )}
 
 ORACLES: dict[str, str] = {
