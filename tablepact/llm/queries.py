@@ -14,6 +14,7 @@ from tablepact.llm.common import table
 from tablepact.llm.decontaminate import contained_items
 from tablepact.llm.jaccard import linked_documents
 from tablepact.llm.lmscore import scored
+from tablepact.llm.passages import repeated_passages
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 from tablepact.llm.sharding import placed
@@ -35,6 +36,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("start").cast("bigint").alias("start_word"), F.col("end").cast("bigint").alias("end_word"),
+        F.col("shared_with").alias("shared_doc_id"), "identity")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
@@ -98,7 +106,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_lm_scoring, op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
+    op1_substring_dedup, op3_lm_scoring, op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
 )}
 
 ORACLES: dict[str, str] = {
