@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +16,10 @@ from tablepact.llm.lmscore import scored
 from tablepact.llm.passages import repeated_passages
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
+from tablepact.llm.quotes import conversations_in_reply_order
 from tablepact.llm.sharding import placed
 from tablepact.llm.tokenfiles import read_token_files, write_token_files
-from tablepact.llm.tokens import encoded_by_words
+from tablepact.llm.tokens import bpe_digests, encoded_by_words, tokenizer
 from tablepact.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("shared_with").alias("shared_doc_id"), "identity")
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations_in_reply_order(table(spark, sf_dir, "conversations"))
+    return found.withColumnsRenamed({"conv": "conv_id", "parent": "parent_turn", "thread": "thread_turn"})
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
@@ -68,19 +73,6 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(encoded_by_words(docs, tokenizer()))
 
 
-def bpe_digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select(
-        F.col("doc").alias("doc_id"), (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
-def tokenizer(name: str = "word_bpe_49k.json") -> str:
-    """The public tokenizer's file, read where the driver runs and sent with the tasks."""
-    import public_tokenizers
-
-    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
-
-
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contained_items(docs, table(spark, sf_dir, "benchmark"))
@@ -106,7 +98,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op3_lm_scoring, op4_pii, op5_quality_rules, op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
+    op1_substring_dedup, op2_quotation_linking, op3_lm_scoring, op4_pii, op5_quality_rules,
+    op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
 )}
 
 ORACLES: dict[str, str] = {
