@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a chunk, about; one longer text is a chunk of its own.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, size: int = CHUNK) -> Iterator[tuple[int, list[pa.Array]]]:

@@ -169,7 +169,9 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch], which: int) -> Iterator[tup
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        hashes, counts = tokens_of([expand(r[2]) for r in rows], known)
+        texts = [expand(r.pop()) for r in rows]
+        hashes, counts = tokens_of(texts, known)
+        del texts
         found = []
         for kind, keys in ((1, hashes), (2, pairs_of(hashes))):
             own, inverse = np.unique(keys, return_inverse=True)
@@ -187,7 +189,7 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch], which: int) -> Iterator[tup
                     yield settled()
                 at, answers, rows = number, {1: [], 2: []}, []
             if kind == 3:
-                rows.append((doc, own, value))
+                rows.append([doc, own, value])
             else:
                 answers[kind].append(value)
     if rows:

@@ -10,7 +10,7 @@ import xxhash
 
 WIDTH = 5
 #: Words whose hash a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 _RANDOM = np.random.default_rng(20_240_607)
 _FACTORS = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
