@@ -13,7 +13,7 @@ of ranks, which has the vocabulary's size. Keys are sorted by ranges, so no task
 the whole table; equal keys are split by their contents.
 
 Edge cases: a null or empty text is the end id alone; a null key comes first; rows of
-equal keys follow each other in the order of their ids' bytes. An empty table gives no
+equal keys follow each other in the order of their ids' hash and bytes. An empty table gives no
 blocks and reads back as no rows.
 """
 
@@ -27,37 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.llm.common import materialized, text_of
+from tablepact.llm.bytecode import packed, unpacked
 from tablepact.llm.tokens import REMEMBERED, gathered, loaded, word_ids
 
 #: Ids in a block, about; a longer row is a block of its own.
 BLOCK = 1_000_000
 
-# For each control byte the byte counts of its four numbers.
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-
-
-def packed(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit numbers."""
-    lengths = 1 + (numbers > 0xFF) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
-    codes = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
-    codes[:len(numbers)] = lengths - 1
-    codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    every = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), every[np.arange(4) < lengths[:, None]].tobytes()
-
-
-def unpacked(control: bytes, data: bytes, count: int) -> np.ndarray:
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    places = np.cumsum(lengths) - lengths
-    held = np.frombuffer(data + b"\0\0\0", np.uint8)
-    numbers = held[places].astype(np.uint32)
-    for k in range(1, 4):
-        longer = np.flatnonzero(lengths > k)
-        numbers[longer] |= held[places[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return numbers
-
-
 class WordIds:
     """Ids of whole texts; the ids of words seen before are remembered while there is room."""
 

@@ -2,8 +2,9 @@
 
 ``encoded_by_words`` keeps a table of distinct words: texts are split in Spark, every
 distinct word is encoded once, and its ids come back by position. For that each chunk
-of rows sends its distinct words, one row each, and gets back one row each; the words
-are sorted in their partitions, so equal ones of all chunks meet and are encoded once.
+of rows sends its distinct words, parted by ranges of their hashes, and gets back their
+ids; equal words of all chunks meet in a range and are encoded once. The number of
+ranges follows from the bytes of all texts, so a range has bounded size.
 Ids are decoded through a table from id to piece, which has the vocabulary's size.
 
 Splitting at ASCII blanks is exact for a tokenizer whose normalizer and pre-tokenizer
@@ -16,6 +17,8 @@ are each encoded. A very long text is a chunk of its own. A null ``doc_id`` stay
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,9 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablepact.llm.bytecode import packed, unpacked
 from tablepact.llm.chunks import CHUNK, chunks, one_thread
 from tablepact.llm.common import text_of
 
+#: Bytes of text whose words, parted by their hashes, make up a range, about.
+RANGE_TEXT = 8_000_000
+# Kinds of rows that pass between chunks and ranges, in the order a chunk gets them.
+ANSWERED, LAID, TEXT, ASKED = range(4)
 #: Words a task encodes at a time, and words whose ids a task remembers.
 BATCH = 20_000
 REMEMBERED = 500_000
@@ -79,14 +87,28 @@ class Numbered(dict):
 
 
 def numbered_words(texts: list[bytes | None]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct words in the order they first appear, and each text as their numbers."""
+    """The distinct words, most frequent first, and each text as their numbers."""
     numbers = Numbered()
     places = [np.fromiter(map(numbers.__getitem__, (t or b"").split()), np.uint32) for t in texts]
-    return list(numbers), places
+    counts = np.bincount(np.concatenate(places), minlength=len(numbers)) if places else np.empty(0, np.int64)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    first = list(numbers)
+    return [first[i] for i in order.tolist()], [rank[p] for p in places]
 
 
-def words_digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def by_range(words: list[bytes], bits: int) -> tuple[np.ndarray, list[tuple[int, list[bytes]]]]:
+    """Each word's range of hashes, and the words of each range that has some, in their order."""
+    ranges = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.uint64) << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(ranges, kind="stable")
+    edges = np.flatnonzero(np.diff(ranges[order].astype(np.int64), prepend=-1)).tolist()
+    numbers = order.tolist()
+    return ranges, [(int(ranges[numbers[a]]), [words[i] for i in numbers[a:b]]) for a, b in zip(edges, [*edges[1:], len(words)])]
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=8).digest()
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -97,55 +119,79 @@ def gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.nda
 
 
 def encoded_by_words(docs: DataFrame, tokenizer_json: str, *, key: str = "doc_id", text: str = "text",
-                     chunk: int = CHUNK) -> DataFrame:
+                     chunk: int = 2 * CHUNK) -> DataFrame:
     """``doc, ids, decoded``: ids as little-endian unsigned 32-bit integers in a row."""
     source = docs.select(F.col(key).alias("doc"), text_of(text).cast("binary").alias("t"), F.spark_partition_id().alias("part"))
     told = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
+    size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, size / RANGE_TEXT))))
+    names = ["chunk", "kind", "place", "value", "extra", "doc"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+    columns = "chunk bigint, kind int, place int, value binary, extra binary, doc bigint"
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        parts = list(zip(*rows)) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, types)], names=names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for number, (_, texts, _) in chunks(batches, 1, chunk):
             words, _ = numbered_words(texts.to_pylist())
-            words.append(words_digest(words))  # comes back as an answer like the others, unencoded
-            for a in range(0, len(words), 50_000):
-                part = words[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), number)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part, pa.binary()),
-                    pa.array(np.arange(a, a + len(part)) == len(words) - 1)], names=["chunk", "place", "word", "mark"])
-
-    asked = source.mapInArrow(ask, "chunk bigint, place int, word binary, mark boolean")
-    asked = asked.repartition("mark", "word").sortWithinPartitions("mark", "word")
+            yield rows_of([(number, ASKED, r, squeeze(b" ".join(part)), digest(part), None) for r, part in by_range(words, bits)[1]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last = loaded(told.value), (None, None)
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(a, BATCH)
-                words = list(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()))
-                found = {(True, w): w for mark, w in words if mark}
-                new = [w for (mark, w), before in zip(words, [last[0], *words]) if not mark and (mark, w) != before]
-                found |= zip(((False, w) for w in new), (np.array(i, "<u4").tobytes() for i in word_ids(tokenizer, new)))
-                if last[0] is not None:
-                    found.setdefault(*last)
-                last = (words[-1], found[words[-1]])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([found[w] for w in words], pa.binary())],
-                                                 names=["chunk", "place", "value"])
-
-    answers = asked.mapInArrow(answer, "chunk bigint, place int, value binary").select("chunk", F.lit(0).alias("kind"), "place", "value", F.lit(None).cast("bigint").alias("doc"))
+        import zstandard
+
+        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        tokenizer, at, held = loaded(told.value), None, []
+
+        def settled() -> pa.RecordBatch:
+            asked = [(number, expand(value).split(b" "), mark) for number, value, mark in held]
+            distinct = list(dict.fromkeys(w for _, words, _ in asked for w in words))
+            number_of = dict(zip(distinct, range(len(distinct))))
+            flat, lengths = [], []
+            for a in range(0, len(distinct), BATCH):
+                for ids in word_ids(tokenizer, distinct[a:a + BATCH]):
+                    lengths.append(len(ids))
+                    flat.extend(ids)
+            ids, starts = np.array(flat, np.uint32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            out = []
+            for number, words, mark in asked:
+                own = np.fromiter(map(number_of.__getitem__, words), np.int64, len(words))
+                sizes = (starts[own + 1] - starts[own]).astype("<u4")
+                out.append((number, ANSWERED, at, squeeze(sizes.tobytes() + gathered(ids, starts, own).astype("<u4").tobytes()),
+                            mark + len(words).to_bytes(8, "little"), None))
+            return rows_of(out)
+
+        for batch in batches:
+            for number, _, place, value, mark, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != at:
+                    if held:
+                        yield settled()
+                    at, held = place, []
+                held.append((number, value, mark))
+        if held:
+            yield settled()
+
+    asked = source.mapInArrow(ask, columns).repartition("place").sortWithinPartitions("place", "chunk")
+    answers = asked.mapInArrow(answer, columns)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for number, (ids, texts, _) in chunks(batches, 1, chunk):
             words, places = numbered_words(texts.to_pylist())
-            n = len(places)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n + 1, number)), pa.array(np.array([1] + [2] * n, np.int32)), pa.array(np.arange(-1, n, dtype=np.int32)),
-                pa.array([words_digest(words), *(squeeze(p.tobytes()) for p in places)], pa.binary()),
-                pa.concat_arrays([pa.nulls(1, pa.int64()), ids.cast(pa.int64())])],
-                names=["chunk", "kind", "place", "value", "doc"])
-
-    laid = source.mapInArrow(lay, "chunk bigint, kind int, place int, value binary, doc bigint")
+            ranges, parts = by_range(words, bits)
+            yield rows_of([(number, LAID, 0, squeeze(ranges.astype("<u4").tobytes()), b"".join(digest(p) for _, p in parts), None)])
+            keys = ids.cast(pa.int64()).to_pylist()
+            for a in range(0, len(places), 2000):
+                yield rows_of([(number, TEXT, k, squeeze(b"".join(packed(p))), len(p).to_bytes(8, "little"), doc)
+                               for k, (p, doc) in enumerate(zip(places[a:a + 2000], keys[a:a + 2000]))])
+
+    laid = source.mapInArrow(lay, columns)
     together = answers.union(laid).repartition("chunk").sortWithinPartitions("chunk", "kind", "place")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,25 +199,36 @@ def encoded_by_words(docs: DataFrame, tokenizer_json: str, *, key: str = "doc_id
 
         expand = zstandard.ZstdDecompressor().decompress
         pieces = pieces_of(told.value)
-        values: list[bytes] = []
         flat, starts, at = np.empty(0, np.uint32), np.zeros(1, np.int64), None
+        sizes, ids, marks = [], [], []
         for batch in batches:
             out: list[tuple] = []
             weight = 0
-            for number, kind, value, doc in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            for number, kind, value, extra, doc in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
                 if number != at:
-                    at, values = number, []
-                if kind == 0:
-                    values.append(value)
-                elif kind == 1:
-                    digest = values.pop() if values else b""
-                    flat = np.frombuffer(b"".join(values), "<u4")
-                    starts = np.concatenate([[0], np.cumsum([len(v) // 4 for v in values], dtype=np.int64)])
-                    if value != digest:
+                    at, sizes, ids, marks = number, [], [], []
+                if kind == ANSWERED:
+                    n, held = int.from_bytes(extra[8:], "little"), np.frombuffer(expand(value), "<u4")
+                    sizes.append(held[:n])
+                    ids.append(held[n:])
+                    marks.append(extra[:8])
+                elif kind == LAID:
+                    if b"".join(marks) != extra:
                         raise ValueError("the input changed between two reads; read it from files or a work table")
+                    # Answers are by range, and in each range by rank; words are numbered by rank.
+                    order = np.argsort(np.frombuffer(expand(value), "<u4"), kind="stable")
+                    if len(order):
+                        every = np.concatenate(sizes).astype(np.int64)
+                        begin = np.cumsum(every) - every
+                        by_rank = np.empty(len(order), np.int64)
+                        by_rank[order] = np.arange(len(order))
+                        flat = gathered(np.concatenate(ids), np.append(begin, every.sum()), by_rank)
+                        starts = np.concatenate([[0], np.cumsum(every[by_rank])])
                 else:
-                    ids = gathered(flat, starts, np.frombuffer(expand(value), np.uint32))
-                    out.append((doc, ids.tobytes(), " ".join([pieces[i] for i in ids.tolist()])))
+                    n = int.from_bytes(extra, "little")
+                    held = expand(value)
+                    found = gathered(flat, starts, unpacked(held[:-(-n // 4)], held[-(-n // 4):], n)) if n else flat[:0]
+                    out.append((doc, found.astype("<u4").tobytes(), " ".join([pieces[i] for i in found.tolist()])))
                     weight += len(out[-1][1])
                 if weight > 8_000_000:
                     yield decoded_rows(out)
