@@ -10,62 +10,34 @@ from pyspark.sql import functions as F
 
 from tablepact.functions.digests import byte_hash, record_hash
 
-# How many bytes of a digest split a group into parts, how many
-# digests a part may list before it is folded, and the size up to which a group's
-# fold is the plain one.
-PART_BYTES, PART_LIMIT = 2, 16
-EXACT_MEMBERS = 100_000
+# A digest is cut into limbs, whose sums make up a group's fold.
+LIMBS, LIMB_DIGITS = 8, 8
 
 
-def group_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    member: Expr,
-    *,
-    exact_members: int = EXACT_MEMBERS,
-    part_limit: int = PART_LIMIT,
-) -> DataFrame:
+def group_fold(df: DataFrame, keys: Sequence[str], member: Expr) -> DataFrame:
     """Fingerprint of each group that does not depend on the order of its members.
 
-    A group of up to ``exact_members`` gets SHA-256 over the sorted, concatenated
-    hex digests of its members, and ``""`` if it has none. That formula needs all
-    digests in one place, so a larger group is folded in parts: the digests of one
-    part share their first bytes, and a part that lists more than ``part_limit``
-    different ones is replaced by the fold of its ``digest*copies`` list. Equal
-    groups still get equal folds.
-
-    Equal members are counted before anything is listed, and a part holds one of
-    65,536 shares of its group, so no task gets a hot group whole.
+    SHA-256 over the number of members and, for each limb of their SHA-256 digests, the
+    sum over all members; ``""`` for a group without any. Sums are decimals, which
+    raise an error before they could wrap. They merge, so a group of any size is one
+    partial aggregation and one exchange, and its state has constant size.
     """
     by = [F.col(_quoted(key)) for key in keys]
-    digests = df.select(*by, F.unhex(byte_hash(member)).alias("d"))
-    copies = digests.groupBy(*by, F.substring("d", 1, PART_BYTES).alias("part"), "d").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    present = F.col("d").isNotNull()
-    parts = copies.groupBy(*by, "part").agg(
-        F.sum(F.when(present, F.col("n")).otherwise(F.lit(0))).alias("members"),
-        F.collect_list(F.when(present, F.struct("d", "n", F.lit(True).alias("whole")))).alias("items"),
-    )
-    stand_in = F.struct(
-        F.unhex(_listing_hash(F.array_sort("items"))).alias("d"),
-        F.col("members").alias("n"),
-        F.lit(False).alias("whole"),
-    )
-    listed = F.when(F.size("items") > part_limit, F.array(stand_in)).otherwise(F.col("items"))
-    groups = parts.groupBy(*by).agg(
-        F.sum("members").alias("members"),
-        F.array_sort(F.flatten(F.collect_list(listed))).alias("items"),
-    )
-    exact = byte_hash(F.array_join(F.flatten(F.transform(
-        "items", lambda i: F.array_repeat(F.lower(F.hex(i["d"])), i["n"].cast("int"))
-    )), ""))
-    fits = (F.col("members") <= exact_members) & F.forall("items", lambda i: i["whole"])
-    return groups.select(
-        *by, "members",
-        F.when(F.col("members") == 0, F.lit(""))
-        .when(fits, exact).otherwise(_listing_hash(F.col("items"))).alias("fold"),
+    digests = df.select(*by, byte_hash(member).alias("d"))
+    limbs = [
+        F.conv(F.substring("d", 1 + i * LIMB_DIGITS, LIMB_DIGITS), 16, 10).cast("decimal(20,0)") for i in range(LIMBS)
+    ]
+    sums = digests.groupBy(*by).agg(
+        F.count("d").alias("members"), *[F.sum(limb).alias(f"s{i}") for i, limb in enumerate(limbs)]
     )
+    listed = F.concat_ws(",", "members", *[F.col(f"s{i}").cast("string") for i in range(LIMBS)])
+    return sums.select(*by, "members", F.when(F.col("members") == 0, "").otherwise(byte_hash(listed)).alias("fold"))
+
+
+def array_fold(members: Expr) -> Expr:
+    """Fingerprint of an array's members in any order: SHA-256 over their sorted hex digests."""
+    digests = F.transform(F.filter(members, lambda m: m.isNotNull()), byte_hash)
+    return F.when(F.size(digests) == 0, "").otherwise(byte_hash(F.array_join(F.sort_array(digests), "")))
 
 
 def snapshot_changes(

@@ -15,9 +15,12 @@ from tablepact.errors import ReadError
 # Fixed value: how much of a refused query is quoted.
 MAX_EXCERPT = 200
 
-# Calls that run code outside of the query engine.
-_RUNS_A_COMMAND = re.compile(r"^[\s:|+-]*ScriptTransformation\b", re.MULTILINE)
-_CALLS_JAVA = re.compile(r"\b(try_reflect|reflect|java_method)\s*\(", re.IGNORECASE)
+# Parts of a plan that run code outside of the query engine, and how a
+# plan's JSON names the class of each of its nodes and expressions. A quote within a text
+# is escaped there, so no literal looks like one.
+_CLASS = re.compile(r'"class":"[\w.$]*\.(\w+)"')
+_RUNS_A_COMMAND = {"ScriptTransformation"}
+_CALLS_JAVA = {"CallMethodViaReflection", "TryReflect"}
 
 BIND_REPORT_SCHEMA = "read string, ok boolean, message string"
 
@@ -112,12 +115,13 @@ def _as_cte(query: str) -> str:
 
 def _bound(spark: SparkSession, query: str) -> None:
     try:
-        plan = spark.sql(_as_subquery(query))._jdf.queryExecution().analyzed().toString()
+        plan = spark.sql(_as_subquery(query))._jdf.queryExecution().analyzed().toJSON()
     except AnalysisException as exc:
         raise ReadError(f"read does not bind: {exc}") from exc
-    if _RUNS_A_COMMAND.search(plan):
+    used = set(_CLASS.findall(plan))
+    if used & _RUNS_A_COMMAND:
         raise ReadError(f"a read may not run a command: {_excerpt(query)}")
-    if _CALLS_JAVA.search(query) and _CALLS_JAVA.search(plan):
+    if used & _CALLS_JAVA:
         raise ReadError(f"a read may not call Java methods: {_excerpt(query)}")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.functions.digests import byte_hash, fold, record_hash, text_hash
-from tablepact.operators.fingerprints import group_fold, snapshot_changes
+from tablepact.operators.fingerprints import LIMB_DIGITS, LIMBS, array_fold, group_fold, snapshot_changes
 from tablepact.suite.registry import query
 
 _ALTERED = """
@@ -33,20 +33,29 @@ def fingerprint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("documents").select("doc_id", text_hash(F.col("text")).alias("digest"))
 
 
+def _fold_sql(table: str, key: str, member: str) -> str:
+    """The sums of the limbs of all members' digests, hashed with their number."""
+    sums = " || ',' || ".join(f"sum(('0x' || substr(d, {1 + i * LIMB_DIGITS}, {LIMB_DIGITS}))::bigint)::varchar" for i in range(LIMBS))
+    return f"""
+    select {key}, count(d) as members, sha256(count(d)::varchar || ',' || {sums}) as fold
+    from (select {key}, sha256({member}) as d from {table}) group by {key}"""
+
+
 @query("""
-select conv_id, count(*) as members, sha256(string_agg(sha256(text), '' order by sha256(text))) as fold
-from conversations group by conv_id
+select doc_id, sha256(array_to_string(list_sort(list_transform(string_split(text, chr(10)), lambda x: sha256(x))), '')) as fold
+from documents
 """)
+def fingerprint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.split("text", "\n", -1)
+    return spark.table("documents").select("doc_id", array_fold(lines).alias("fold"))
+
+
+@query(_fold_sql("conversations", "conv_id", "text"))
 def fingerprint_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_fold(spark.table("conversations"), ["conv_id"], F.col("text"))
 
 
-@query("""
-select l_returnflag, count(*) as members,
-       sha256(string_agg(sha256(m), '' order by sha256(m))) as fold
-from (select l_returnflag, concat(l_orderkey, '/', l_linenumber) as m from lineitem)
-group by l_returnflag
-""")
+@query(_fold_sql("lineitem", "l_returnflag", "concat(l_orderkey, '/', l_linenumber)"))
 def fingerprint_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three groups that hold all rows, many of them copies."""
     member = F.concat_ws("/", "l_orderkey", "l_linenumber")

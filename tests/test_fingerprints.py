@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions.digests import byte_hash, fold, record_hash, record_json, text_hash
-from tablepact.operators.fingerprints import group_fold, snapshot_changes
+from tablepact.operators.fingerprints import array_fold, group_fold, snapshot_changes
 
 
 def hexed(text):
@@ -55,52 +55,40 @@ def brute(rows):
     return {k: (len(v), hexed("".join(sorted(v))) if v else "") for k, v in groups.items()}
 
 
+def folded(members):
+    digests = [hexed(m) for m in members if m is not None]
+    sums = [sum(int(d[8 * i:8 * i + 8], 16) for d in digests) for i in range(8)]
+    return len(digests), hexed(",".join(map(str, [len(digests), *sums]))) if digests else ""
+
+
 def test_group_fold(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "zz", None, str(rng.random())])) for _ in range(3000)]
     rows += [("empty", None), ("empty", None)]
     df = spark.createDataFrame(rows, "k string, m string")
     got = {r.k: (r.members, r.fold) for r in group_fold(df, ["k"], F.col("m")).collect()}
-    assert got == brute(rows)
-    # Digests are sorted, not the members themselves.
-    two = spark.createDataFrame([(1, "b"), (1, "a")], "k int, m string")
-    assert group_fold(two, ["k"], F.col("m")).first().fold == hexed("".join(sorted([hexed("a"), hexed("b")])))
-
+    assert got == {k: folded([m for x, m in rows if x == k]) for k in {k for k, _ in rows}}
+    again = group_fold(df.orderBy(F.rand(3)).repartition(7), ["k"], F.col("m"))
+    assert {r.k: (r.members, r.fold) for r in again.collect()} == got
 
-def listing(items):
-    return hexed(",".join(f"{d}*{n}" for d, n, _ in sorted(items)))
 
-
-def brute_large(members, limit):
-    parts = {}
-    for d, n in Counter(hexed(m) for m in members).items():
-        parts.setdefault(d[:4], []).append((d, n, True))
-    items = []
-    for part in parts.values():
-        items += part if len(part) <= limit else [(listing(part), sum(n for _, n, _ in part), False)]
-    return listing(items)
-
-
-def test_large_groups_are_folded_by_parts(spark):
-    rng = random.Random(2)
-    members = [str(rng.randint(0, 9000)) for _ in range(20000)] + ["copy"] * 7000
-    rows = [("big", m) for m in members] + [("small", "x"), ("small", "x")]
-    df = spark.createDataFrame(rows, "k string, m string")
-    limits = dict(exact_members=100, part_limit=1)
-    got = {r.k: (r.members, r.fold) for r in group_fold(df, ["k"], F.col("m"), **limits).collect()}
-    assert got["small"] == (2, brute(rows)["small"][1])
-    assert got["big"] == (27000, brute_large(members, 1))
-    shuffled = df.orderBy(F.rand(3)).repartition(7)
-    again = {r.k: (r.members, r.fold) for r in group_fold(shuffled, ["k"], F.col("m"), **limits).collect()}
-    assert again == got
-    fewer = df.where("m != 'copy'").union(df.where("m = 'copy'").limit(6999))
-    assert {r.k: r.fold for r in group_fold(fewer, ["k"], F.col("m"), **limits).collect()}["big"] != got["big"][1]
+def test_group_fold_is_one_formula_for_every_size(spark):
+    for n in (99_999, 100_001):
+        df = spark.range(n).selectExpr("1 as k", "cast(id as string) m")
+        row = group_fold(df, ["k"], F.col("m")).first()
+        assert (row.members, row.fold) == folded(map(str, range(n)))
 
 
 def test_group_fold_exchanges(spark):
     df = spark.range(10).selectExpr("id % 3 as k", "cast(id as string) m")
     plan = group_fold(df, ["k"], F.col("m"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect" not in plan
+
+
+def test_array_fold(spark):
+    df = spark.createDataFrame([(["b", "a", None],), ([],), ([None],), (["x", "x"],)], "m array<string>")
+    got = [r[0] for r in df.select(array_fold(F.col("m"))).collect()]
+    assert got == [hexed("".join(sorted([hexed("a"), hexed("b")]))), "", "", hexed(hexed("x") * 2)]
 
 
 def test_snapshot_changes(spark):

@@ -124,3 +124,15 @@ def test_ingest(spark):
     for thing in (object(), [1], {"a": 1}, np.zeros(2), None):
         with pytest.raises(ScriptError, match="expected a dataframe"):
             to_dataframe(spark, thing)
+
+
+def test_calls_of_java_are_found_in_the_plan(spark):
+    call = "('java.util.UUID', 'randomUUID')"
+    wide = ", ".join(f"{i} as c{i}" for i in range(40))
+    spark.sql(f"create or replace temp view calls_java as select reflect{call} as u")
+    refused = [f"select `reflect`{call}", f"select reflect/**/{call}", f"select {wide}, reflect{call} as u", f"select try_reflect{call}",
+               "select u from calls_java", f"select 1 where 1 in (select length(java_method{call}))"]
+    for query in refused:
+        with pytest.raises(ReadError):
+            check_binds(spark, query)
+    check_binds(spark, "select 'reflect(' as t, '\"class\":\"a.TryReflect\"' as u")
