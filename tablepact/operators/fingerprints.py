@@ -49,14 +49,20 @@ def snapshot_changes(
     """Each key with ``added``, ``removed``, ``changed`` or ``unchanged``.
 
     Only keys and fingerprints are shuffled. Rows that share a key are compared as
-    a multiset of fingerprints: counted, never paired.
+    a multiset of fingerprints: counted, never paired. Columns of either side count;
+    where only one side has a column, all keys that stay have changed.
     """
     by = [F.col(_quoted(key)) for key in keys]
-    compared = list(columns) if columns is not None else [c for c in new.columns if c not in keys]
+    compared = list(columns) if columns is not None else [
+        c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys
+    ]
+    if unknown := set(compared) - {*old.columns, *new.columns}:
+        raise ValueError(f"neither snapshot has the columns {sorted(unknown)}")
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        rows = df.select(*by, *[F.col(_quoted(c)) for c in compared])
-        mark = record_hash(rows.select(*[F.col(_quoted(c)) for c in compared]).schema)
+        own = [F.col(_quoted(c)) for c in compared if c in df.columns]
+        rows = df.select(*by, *own)
+        mark = record_hash(rows.select(*own).schema)
         return rows.select(*by, mark.alias("mark"), F.lit(sign).cast("bigint").alias("sign"))
 
     marks = side(old, -1).unionByName(side(new, 1)).groupBy(*by, "mark").agg(
@@ -76,13 +82,5 @@ def snapshot_changes(
     return found.select(*by, status.alias("status"))
 
 
-def _listing_hash(items: Expr) -> Expr:
-    return byte_hash(F.array_join(
-        F.transform(
-            items, lambda i: F.concat(F.lower(F.hex(i["d"])), F.lit("*"), i["n"].cast("string"))
-        ), ",",
-    ))
-
-
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

@@ -17,10 +17,9 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings and make sure a scratch folder is known."""
+    """Apply the runtime settings."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    scratch_dir(spark)
     return spark
 
 

@@ -108,3 +108,11 @@ def test_nested_values_have_a_canonical_form(spark):
     assert isinstance(df.schema["a"].dataType, T.ArrayType)
     assert df.select(record_json(df.schema)).first()[0] == (
         '{"a":[1,null],"b":"0aff","d":"2020-01-02","n":1.50,"s":{"x":null},"t":"2020-01-02 03:04:05.000000"}')
+
+
+def test_snapshots_with_other_columns(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, s string, gone int")
+    new = spark.createDataFrame([(1, "a"), (3, "c")], "k int, s string")
+    assert {r.k: r.status for r in snapshot_changes(old, new, ["k"]).collect()} == {1: "changed", 2: "removed", 3: "added"}
+    assert {r.k: r.status for r in snapshot_changes(new, old, ["k"]).collect()} == {1: "changed", 2: "added", 3: "removed"}
+    assert {r.k: r.status for r in snapshot_changes(old, new, ["k"], ["s"]).collect()}[1] == "unchanged"
