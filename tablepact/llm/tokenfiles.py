@@ -20,6 +20,7 @@ blocks and reads back as no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from tablepact.llm.common import materialized, text_of
 from tablepact.llm.bytecode import packed, unpacked
-from tablepact.llm.tokens import REMEMBERED, gathered, loaded, word_ids
+from tablepact.llm.tokens import BATCH, REMEMBERED, gathered, loaded, word_ids
 
 #: Ids in a block, about; a longer row is a block of its own.
 BLOCK = 1_000_000
 
+
 class WordIds:
     """Ids of whole texts; the ids of words seen before are remembered while there is room."""
 
@@ -42,8 +44,14 @@ class WordIds:
 
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = [np.empty(0, np.uint32)]
-        self.ends: list[int] = [0]
+        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        found = [word_ids(self.tokenizer, words[a:a + BATCH]) for a in range(0, len(words), BATCH)]
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
+        self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+        ends = np.concatenate([n for _, n in found]).cumsum() + self.starts[-1]
+        self.starts = np.concatenate([self.starts, ends])
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         if len(self.numbers) > REMEMBERED:
@@ -51,22 +59,24 @@ class WordIds:
         split = [t.split() for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.numbers))
         if new:
-            found = word_ids(self.tokenizer, new)
-            self.numbers.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
-            self.ends.extend((self.ends[-1] + np.cumsum([len(f) for f in found])).tolist())
-            self.flat.append(np.fromiter((i for f in found for i in f), np.uint32))
-            self.flat = [np.concatenate(self.flat)]
-        starts, get = np.array(self.ends), self.numbers.__getitem__
-        return [np.append(gathered(self.flat[0], starts, np.fromiter(map(get, words), np.int64, len(words))), np.uint32(end))
+            self.learn(new)
+        get = self.numbers.__getitem__
+        return [np.append(gathered(self.flat, self.starts, np.fromiter(map(get, words), np.int64, len(words))), np.uint32(end))
                 for words in split]
 
 
+@lru_cache(maxsize=1)
+def worker_words(tokenizer_json: str) -> WordIds:
+    """The words of this Python worker, which later tasks on it use again."""
+    return WordIds(tokenizer_json)
+
+
 def _encoded(docs: DataFrame, tokenizer_json: str, key: str, text: str, end: int) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
     source = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(told.value)
+        words = worker_words(told.value)
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)

@@ -37,7 +37,10 @@ RANGE_TEXT = 8_000_000
 ANSWERED, LAID, TEXT, ASKED = range(4)
 #: Words a task encodes at a time, and words whose ids a task remembers.
 BATCH = 20_000
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+#: Words that make up one text for the tokenizer, and the mark between them.
+TOGETHER = 20
+MARK = b"\x01"
 
 
 def parts_at_blanks(tokenizer_json: str, samples: list[str]) -> bool:
@@ -73,9 +76,23 @@ def pieces_of(tokenizer_json: str) -> list[str | None]:
     return pieces
 
 
-def word_ids(tokenizer, words: list[bytes]) -> list[list[int]]:
-    texts = [w.decode("utf-8", "replace") for w in words]
-    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def word_ids(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in a row, and the number of ids of each.
+
+    Some words go through the tokenizer as one text, with a mark between them that has
+    one id of its own; words that hold the mark themselves go one by one.
+    """
+    mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+    if len(mark) == 1 and MARK not in b" ".join(words):
+        between = b" " + MARK + b" "
+        texts = [between.join(words[a:a + TOGETHER]).decode("utf-8", "replace") for a in range(0, len(words), TOGETHER)]
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        marked = np.fromiter((i for e in found for i in (*e.ids, mark[0])), np.uint32)
+        ends = np.flatnonzero(marked == mark[0])
+        if len(ends) == len(words):
+            return marked[marked != mark[0]], np.diff(ends, prepend=-1) - 1
+    single = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    return np.fromiter((i for ids in single for i in ids), np.uint32), np.fromiter(map(len, single), np.int64, len(single))
 
 
 class Numbered(dict):
@@ -151,12 +168,9 @@ def encoded_by_words(docs: DataFrame, tokenizer_json: str, *, key: str = "doc_id
             asked = [(number, expand(value).split(b" "), mark) for number, value, mark in held]
             distinct = list(dict.fromkeys(w for _, words, _ in asked for w in words))
             number_of = dict(zip(distinct, range(len(distinct))))
-            flat, lengths = [], []
-            for a in range(0, len(distinct), BATCH):
-                for ids in word_ids(tokenizer, distinct[a:a + BATCH]):
-                    lengths.append(len(ids))
-                    flat.extend(ids)
-            ids, starts = np.array(flat, np.uint32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            found = [word_ids(tokenizer, distinct[a:a + BATCH]) for a in range(0, len(distinct), BATCH)]
+            ids = np.concatenate([np.empty(0, np.uint32), *[f for f, _ in found]])
+            starts = np.concatenate([[0], *[n for _, n in found]]).cumsum(dtype=np.int64)
             out = []
             for number, words, mark in asked:
                 own = np.fromiter(map(number_of.__getitem__, words), np.int64, len(words))

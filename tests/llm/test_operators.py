@@ -26,7 +26,7 @@ from tablepact.llm.quotes import conversations_in_reply_order, parted  # noqa: E
 from tablepact.llm.sharding import lookup_table, placed  # noqa: E402
 from tablepact.llm.shingles import bands_for  # noqa: E402
 from tablepact.llm.tokenfiles import read_token_files, write_token_files  # noqa: E402
-from tablepact.llm.tokens import encoded_by_words, parts_at_blanks, tokenizer  # noqa: E402
+from tablepact.llm.tokens import encoded_by_words, loaded, parts_at_blanks, tokenizer, word_ids  # noqa: E402
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choices("abcdefgh", k=RNG.randint(2, 6))) for _ in range(400)]
@@ -302,3 +302,13 @@ def test_pipeline(spark, tmp_path):
     masked = rows[2][1].replace("x@y.org", "[EMAIL]")
     ids = Tokenizer.from_str(tokenizer()).encode(masked, add_special_tokens=False).ids
     assert found[3].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_word_ids_equal_those_of_single_words():
+    plain = loaded(tokenizer())
+    odd = ["\x01", "a\x01b", "\u0301e", "\u00a0", "<|endoftext|>x", "e\u0301", "H\u0331", "don't", "a"] * 5
+    for words in (odd, [w for w in odd if "\x01" not in w], []):
+        want = [plain.encode(w, add_special_tokens=False).ids for w in words]
+        ids, sizes = word_ids(plain, [w.encode() for w in words])
+        assert ids.tolist() == [i for w in want for i in w]
+        assert sizes.tolist() == [len(w) for w in want]
