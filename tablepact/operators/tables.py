@@ -15,7 +15,7 @@ import logging
 import re
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -45,6 +45,10 @@ _DECLARED = {
     T.StringType: "TEXT", T.TimestampNTZType: "TIMESTAMP", T.DateType: "DATE",
     T.BooleanType: "BOOLEAN",
 }
+# Where Spark keeps the length of a text, and beginnings of properties
+# that a catalog or this package sets itself.
+_LENGTH_KEY = "__CHAR_VARCHAR_TYPE_STRING"
+_NOT_THE_USERS = (KEPT_KEY + ".", "view.", "spark.sql.", "transient_lastDdlTime")
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,7 @@ class Table:
     columns: tuple[Column, ...] | None = None
     config: Mapping[str, Any] | None = None
     exists: bool = True
+    properties: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def layout(self) -> Layout:
@@ -93,11 +98,28 @@ def describe(spark: SparkSession, schema: str, table: str) -> Table:
         (int(key.rpartition(".")[2]), value) for key, value in properties.items()
         if key.startswith(KEPT_KEY + ".")
     )
+    own = {k: v for k, v in properties.items() if not k.startswith(_NOT_THE_USERS)}
     if not pieces:
-        return Table(schema, table, columns=_columns_of_schema(spark.table(name).schema))
+        columns = _columns_of_schema(spark.table(name).schema)
+        return Table(schema, table, columns=columns, config=_plain_config(spark, name), properties=own)
     kept = json.loads("".join(value for _, value in pieces))
     columns = columns_of(kept["columns"]) if kept["columns"] else None
-    return Table(schema, table, kept["version"], columns, kept["config"])
+    return Table(schema, table, kept["version"], columns, kept["config"], properties=own)
+
+
+def _plain_config(spark: SparkSession, name: str) -> dict[str, Any]:
+    """The layout of a table made elsewhere, as a contract would state it."""
+    rows = [(r.col_name, r.data_type) for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()]
+    told = dict(rows[rows.index(("# Detailed Table Information", "")) + 1:])
+    partitions = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    if "Num Buckets" in told:
+        partitions.append(f"bucket({told['Bucket Columns'].strip('[]`')}, {told['Num Buckets']})")
+    config: dict[str, Any] = {"format": told.get("Provider", "view").upper()}
+    if partitions:
+        config["partitioning"] = partitions
+    if told.get("Sort Columns", "[]") != "[]":
+        config["sorted_by"] = [c.strip(" `") for c in told["Sort Columns"].strip("[]").split(",")]
+    return config
 
 
 def read_slice(
@@ -148,7 +170,10 @@ def clone_empty_from_prod(
     if not state.exists:
         raise LoadError(f"table {prod_schema}.{table} does not exist")
     if state.columns:
-        build_empty_from_columns(spark, candidate_schema, table, state.columns, state.config)
+        try:
+            build_empty_from_columns(spark, candidate_schema, table, state.columns, state.config)
+        except ValueError as exc:
+            raise LoadError(f"cannot copy the layout of {prod_schema}.{table}: {exc}") from exc
     else:
         shaped = spark.table(_qualified(prod_schema, table)).limit(0)
         _publish_new(spark, candidate_schema, table, shaped, Layout(), None, None)
@@ -213,7 +238,10 @@ def replace_contents(
 
 
 def _replace(spark: SparkSession, state: Table, checked: Checked) -> int:
-    layout = parse_layout(state.config, state.columns)
+    try:
+        layout = parse_layout(state.config, state.columns)
+    except ValueError as exc:
+        raise LoadError(f"cannot keep the layout of {state.schema}.{state.table}: {exc}") from exc
     version = _new_version(state.table)
     name = _qualified(state.schema, version)
     observation = Observation()
@@ -275,10 +303,11 @@ def _publish(
         "columns": [c.as_dict() for c in columns] if columns else None,
         "config": dict(config) if config else None,
     })
-    properties = ", ".join(
-        f"'{KEPT_KEY}.{i}' = {_literal(kept[at:at + KEPT_PIECE])}"
+    told = dict(before.properties) | {
+        f"{KEPT_KEY}.{i}": kept[at:at + KEPT_PIECE]
         for i, at in enumerate(range(0, len(kept), KEPT_PIECE))
-    )
+    }
+    properties = ", ".join(f"{_literal(key)} = {_literal(value)}" for key, value in told.items())
     statement = (
         f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ({properties}) "
         f"AS SELECT {listed} FROM {_qualified(schema, version)}"
@@ -321,14 +350,19 @@ def _shape(columns: Sequence[Column] | None) -> list[tuple[str, str, bool]]:
 
 def _columns_of_schema(schema: T.StructType) -> tuple[Column, ...] | None:
     columns = []
-    for field in schema:
-        if isinstance(field.dataType, T.DecimalType):
-            declared = f"NUMERIC({field.dataType.precision},{field.dataType.scale})"
+    for part in schema:
+        length = re.fullmatch(r"varchar\((\d+)\)", part.metadata.get(_LENGTH_KEY, ""))
+        if isinstance(part.dataType, T.DecimalType):
+            declared = f"NUMERIC({part.dataType.precision},{part.dataType.scale})"
+        elif length:
+            declared = f"VARCHAR({length[1]})"
+        elif _LENGTH_KEY in part.metadata:
+            declared = None  # A padded text is not a type of contracts.
         else:
-            declared = _DECLARED.get(type(field.dataType))
+            declared = _DECLARED.get(type(part.dataType))
         if declared is None:
             return None
-        columns.append(Column(field.name, declared))
+        columns.append(Column(part.name, declared, part.nullable))
     return tuple(columns)
 
 

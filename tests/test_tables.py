@@ -36,7 +36,7 @@ def names(spark, db):
 def test_replace(spark, db):
     t.ensure_table(spark, db, "t", PLAIN)
     assert rows(spark, db, "t") == []
-    t.load(spark, db, "t", spark.createDataFrame([(9, "junk1"), (10, "junk2"), (11, "junk3")], "id int, name string"))
+    t.load(spark, db, "t", spark.createDataFrame([(21, "old a"), (22, "old b")], "id int, name string"))
     assert t.load(spark, db, "t", spark.createDataFrame([("x", 1), ("y", 2)], "name string, id int")) == 2
     assert rows(spark, db, "t") == [(1, "x"), (2, "y")]
     assert len(names(spark, db)) == 2  # the table and its one version
@@ -262,3 +262,37 @@ def test_avro_needs_its_package(spark, db):
     with pytest.raises(LoadError, match="(?i)avro"):
         t.ensure_table(spark, db, "a", PLAIN, config={"format": "avro"})
     assert names(spark, db) == []
+
+
+def test_a_load_keeps_rules_and_layout_of_a_plain_table(spark, db):
+    spark.sql(f"create table {db}.f (id int, v varchar(3), p int) using orc "
+              "partitioned by (p) tblproperties ('team' = 'blue')")
+    spark.sql(f"insert into {db}.f values (1, 'a', 1)")
+    with pytest.raises(LoadError):
+        t.load(spark, db, "f", spark.createDataFrame([(2, "four", 1)], "id int, v string, p int"))
+    assert rows(spark, db, "f") == [(1, "a", 1)]
+    for turn in (2, 3):
+        assert t.load(spark, db, "f", spark.createDataFrame([(turn, "abc", 7)], "id int, v string, p int")) == 1
+        assert rows(spark, db, "f") == [(turn, "abc", 7)]
+        state = t.describe(spark, db, "f")
+        assert state.columns[1].type == "VARCHAR(3)" and state.properties == {"team": "blue"}
+        version = f"{db}.{state.version}"
+        assert [c.name for c in spark.catalog.listColumns(version) if c.isPartition] == ["p"]
+        told = {r.col_name: r.data_type for r in spark.sql(f"describe extended {version}").collect()}
+        assert told["Provider"] == "orc"
+    t.clone_empty_from_prod(spark, db, db, "f")
+    assert [c.type for c in t.describe(spark, db, "f").columns] == ["INTEGER", "VARCHAR(3)", "INTEGER"]
+
+
+def test_a_plain_table_of_another_format_is_refused(spark, db):
+    spark.sql(f"create table {db}.c (id int) using csv")
+    with pytest.raises(LoadError, match="cannot keep the layout"):
+        t.load(spark, db, "c", spark.createDataFrame([(1,)], "id int"))
+    assert rows(spark, db, "c") == []
+
+
+def test_bucketed_plain_table_stays_bucketed(spark, db):
+    spark.sql(f"create table {db}.b (id int, s string) using parquet clustered by (id) sorted by (s) into 4 buckets")
+    t.load(spark, db, "b", spark.createDataFrame([(1, "x"), (2, "y")], "id int, s string"))
+    layout = t.describe(spark, db, "b").layout
+    assert (layout.bucket.column, layout.bucket.width, layout.sorted_by[0].column) == ("id", 4, "s")
