@@ -21,69 +21,91 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialized, text_of
 from tablepact.llm.bytecode import packed, unpacked
-from tablepact.llm.tokens import BATCH, REMEMBERED, gathered, loaded, word_ids
+from tablepact.llm.chunks import chunks
+from tablepact.llm.common import materialized, text_of
+from tablepact.llm.tokens import BATCH, REMEMBERED, Numbered, gathered, loaded, word_ids
 
 #: Ids in a block, about; a longer row is a block of its own.
 BLOCK = 1_000_000
+#: Bytes of text that a task encodes at a time, about; a longer text is encoded alone.
+ENCODED = 4_000_000
 
 
 class WordIds:
-    """Ids of whole texts; the ids of words seen before are remembered while there is room."""
+    """Ids of whole texts; the ids of words seen before are remembered while there is room.
+
+    The end of a text is a word of its own, which no text holds.
+    """
 
-    def __init__(self, tokenizer_json: str) -> None:
-        self.tokenizer = loaded(tokenizer_json)
+    END = b" "
+
+    def __init__(self, tokenizer_json: str, end: int) -> None:
+        self.tokenizer, self.end = loaded(tokenizer_json), end
+        self.kind = id_type(max(end, self.tokenizer.get_vocab_size(with_added_tokens=True) - 1))
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.numbers = Numbered({self.END: 0})
+        self.flat, self.starts = np.array([self.end], self.kind), np.array([0, 1])
 
     def learn(self, words: list[bytes]) -> None:
         found = [word_ids(self.tokenizer, words[a:a + BATCH]) for a in range(0, len(words), BATCH)]
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
-        self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+        self.flat = np.concatenate([self.flat, *[ids.astype(self.kind) for ids, _ in found]])
         ends = np.concatenate([n for _, n in found]).cumsum() + self.starts[-1]
         self.starts = np.concatenate([self.starts, ends])
 
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with its end, and where each text's begin."""
         if len(self.numbers) > REMEMBERED:
             self.clear()
+        known = len(self.numbers)
         split = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.numbers))
-        if new:
-            self.learn(new)
-        get = self.numbers.__getitem__
-        return [np.append(gathered(self.flat, self.starts, np.fromiter(map(get, words), np.int64, len(words))), np.uint32(end))
-                for words in split]
+        for words in split:
+            words.append(self.END)
+        last = np.cumsum([len(words) for words in split])
+        places = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, last[-1])
+        if len(self.numbers) > known:
+            self.learn(list(islice(self.numbers, known, None)))
+        ends = np.cumsum(self.starts[places + 1] - self.starts[places])[last - 1]
+        return gathered(self.flat, self.starts, places), np.concatenate([[0], ends])
+
+
+def id_type(largest: int) -> np.dtype:
+    """The narrowest type in which work tables hold ids."""
+    return np.dtype("<u2" if largest < 1 << 16 else "<u4")
 
 
 @lru_cache(maxsize=1)
-def worker_words(tokenizer_json: str) -> WordIds:
+def worker_words(tokenizer_json: str, end: int) -> WordIds:
     """The words of this Python worker, which later tasks on it use again."""
-    return WordIds(tokenizer_json)
+    return WordIds(tokenizer_json, end)
 
 
 def _encoded(docs: DataFrame, tokenizer_json: str, key: str, text: str, end: int) -> DataFrame:
+    """``key, ids, width``: ids of so many bytes each."""
     told = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
-    source = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("t"))
+    source = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("t"), F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_words(told.value)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
-                ids = [i.astype("<u4").tobytes() for i in words.encode(batch.column(1).to_pylist(), end)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["key", "ids"])
+        words = worker_words(told.value, end)
+        width = words.kind.itemsize
+        for _, (keys, texts, _) in chunks(batches, 1, ENCODED):
+            ids, edges = words.encode(texts.to_pylist())
+            held = ids.tobytes()
+            at = (edges * width).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [keys.cast(pa.int64()), pa.array([held[a:b] for a, b in zip(at, at[1:])], pa.binary()),
+                 pa.array([width] * len(keys), pa.int32())], names=["key", "ids", "width"])
 
-    return materialized(source.mapInArrow(encode, "key bigint, ids binary"), "token-ids")
+    return materialized(source.mapInArrow(encode, "key bigint, ids binary, width int"), "token-ids")
 
 
 def _ranks(encoded: DataFrame) -> DataFrame:
@@ -91,14 +113,15 @@ def _ranks(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            for a in range(0, batch.num_rows, 500):
+                some = batch.slice(a, 500)
+                found = np.bincount(np.frombuffer(b"".join(some.column(0).to_pylist()), f"<u{some.column(1)[0]}"), minlength=len(total))
                 found[:len(total)] += total
                 total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids", "width").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # a vocabulary at most
     rows["rank"] = np.arange(len(rows))
     return encoded.sparkSession.createDataFrame(rows[["id", "rank"]], "id bigint, rank bigint")
@@ -120,7 +143,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, *, key: s
     told = docs.sparkSession.sparkContext.broadcast(_known(ranks, "id", "rank"))
     ordered = encoded.withColumn("print", F.xxhash64("ids"))
     ordered = ordered.repartitionByRange("key", "print").sortWithinPartitions("key", "print", "ids")
-    ordered = ordered.select("key", "ids", F.spark_partition_id().alias("part"))
+    ordered = ordered.select("key", "ids", "width", F.spark_partition_id().alias("part"))
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
                         ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
@@ -135,9 +158,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, *, key: s
                 (part, number, before, size, keys, [len(i) for i in ids], control, data), schema.types)], schema=schema)
 
         for batch in batches:
-            for k, i, p in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, i, width, p in zip(*(c.to_pylist() for c in batch.columns)):
                 keys.append(k)
-                ids.append(np.frombuffer(i, "<u4"))
+                ids.append(np.frombuffer(i, f"<u{width}"))
                 size, part = size + len(ids[-1]), p
                 if size >= block:
                     yield made()
