@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text in a chunk, about; one longer text is a chunk of its own.
 CHUNK = 8_000_000
@@ -35,7 +36,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, size: int = CHUNK) -> I
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) for x in batch.column(text).to_pylist()], np.int64)
+        sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(sizes) + weight) // size
         edges = np.flatnonzero(np.diff(part, prepend=0))
         for a, b in zip([0, *edges], [*edges, batch.num_rows]):

@@ -90,20 +90,29 @@ def worker_words(tokenizer_json: str, end: int) -> WordIds:
 
 
 def _encoded(docs: DataFrame, tokenizer_json: str, key: str, text: str, end: int) -> DataFrame:
-    """``key, ids, width``: ids of so many bytes each."""
+    """``key, ids, width``: ids of so many bytes each.
+
+    A last row of each task, of width 0, has in ``ids`` how often the task met each id.
+    """
     told = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
     source = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("t"), F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words(told.value, end)
         width = words.kind.itemsize
+        met = np.zeros(0, np.int64)
         for _, (keys, texts, _) in chunks(batches, 1, ENCODED):
             ids, edges = words.encode(texts.to_pylist())
+            found = np.bincount(ids, minlength=len(met))
+            found[:len(met)] += met
+            met = found
             held = ids.tobytes()
             at = (edges * width).tolist()
             yield pa.RecordBatch.from_arrays(
                 [keys.cast(pa.int64()), pa.array([held[a:b] for a, b in zip(at, at[1:])], pa.binary()),
                  pa.array([width] * len(keys), pa.int32())], names=["key", "ids", "width"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([met.tobytes()], pa.binary()), pa.array([0], pa.int32())],
+                                         names=["key", "ids", "width"])
 
     return materialized(source.mapInArrow(encode, "key bigint, ids binary, width int"), "token-ids")
 
@@ -113,15 +122,15 @@ def _ranks(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                found = np.bincount(np.frombuffer(b"".join(some.column(0).to_pylist()), f"<u{some.column(1)[0]}"), minlength=len(total))
-                found[:len(total)] += total
-                total = found
+            for met in batch.column(0).to_pylist():
+                found = np.frombuffer(met, np.int64)
+                if len(found) > len(total):
+                    total = np.pad(total, (0, len(found) - len(total)))
+                total[:len(found)] += found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    counts = encoded.select("ids", "width").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where("width = 0").select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # a vocabulary at most
     rows["rank"] = np.arange(len(rows))
     return encoded.sparkSession.createDataFrame(rows[["id", "rank"]], "id bigint, rank bigint")
@@ -129,7 +138,7 @@ def _ranks(encoded: DataFrame) -> DataFrame:
 
 def _known(ranks: DataFrame, by: str, to: str) -> np.ndarray:
     rows = ranks.toPandas()
-    table = np.zeros(int(rows[by].max()) + 1 if len(rows) else 0, np.uint32)
+    table = np.zeros(int(rows[by].max()) + 1 if len(rows) else 0, id_type(int(rows[to].max()) if len(rows) else 0))
     table[rows[by].to_numpy()] = rows[to].to_numpy()
     return table
 
@@ -141,7 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, *, key: s
     ranks = _ranks(encoded)
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     told = docs.sparkSession.sparkContext.broadcast(_known(ranks, "id", "rank"))
-    ordered = encoded.withColumn("print", F.xxhash64("ids"))
+    ordered = encoded.where("width > 0").withColumn("print", F.xxhash64("ids"))
     ordered = ordered.repartitionByRange("key", "print").sortWithinPartitions("key", "print", "ids")
     ordered = ordered.select("key", "ids", "width", F.spark_partition_id().alias("part"))
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
