@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Mapping
-from types import MappingProxyType
+from functools import cache, partial
+from textwrap import shorten
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +86,7 @@ class ReadContext:
     """What user code sees: the declared reads, each resolved once."""
 
     def __init__(self, spark: SparkSession, reads: Mapping[str, str]) -> None:
-        self._spark = spark
-        self._reads = MappingProxyType(dict(reads))
-        self._resolved: dict[str, DataFrame] = {}
+        self._frames = {name: cache(partial(_named, spark, name, sql)) for name, sql in reads.items()}
 
     def read(self, name: str) -> DataFrame:
         """The rows of a declared read.
@@ -95,22 +94,25 @@ class ReadContext:
         The frame is lazy: a query that resolves but fails while running does so
         when the table is written.
         """
-        if name not in self._reads:
-            raise ReadError(f"undeclared read {name!r}, declared: {sorted(self._reads)}")
-        if name not in self._resolved:
-            try:
-                self._resolved[name] = fetch(self._spark, self._reads[name])
-            except (ValueError, ReadError, PySparkException) as exc:
-                raise ReadError(f"declared read {name!r} failed: {exc}") from exc
-        return self._resolved[name]
+        frame = self._frames.get(name)
+        if frame is None:
+            raise ReadError(f"{name!r} is not among the reads of this contract: {sorted(self._frames)}")
+        return frame()
+
+
+def _named(spark: SparkSession, name: str, sql: str) -> DataFrame:
+    try:
+        return fetch(spark, sql)
+    except (ValueError, ReadError, PySparkException) as exc:
+        raise ReadError(f"read {name!r} cannot be used: {exc}") from exc
 
 
 def _as_subquery(query: str) -> str:
-    return f"SELECT * FROM (\n{query}\n) AS __check_binds__"
+    return f"SELECT * FROM (\n{query}\n) AS pact_read"
 
 
 def _as_cte(query: str) -> str:
-    return f"WITH __check_binds__ AS (\n{query}\n) SELECT 1"
+    return f"WITH pact_read AS (\n{query}\n) SELECT 1"
 
 
 def _bound(spark: SparkSession, query: str) -> None:
@@ -126,5 +128,4 @@ def _bound(spark: SparkSession, query: str) -> None:
 
 
 def _excerpt(text: str) -> str:
-    words = " ".join(text.split())
-    return words if len(words) <= MAX_EXCERPT else words[:MAX_EXCERPT] + "... (truncated)"
+    return shorten(text, MAX_EXCERPT, placeholder=" [...]")

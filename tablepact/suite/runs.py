@@ -85,7 +85,7 @@ union all
 select 1, 'error', 'ConformError: column order_id is declared nullable: false but contains nulls',
        1, 'pact_run_log.example', count(*) from orders
 union all
-select 1, 'error', 'ConformError: dataframe is missing column(s): [''amount'']',
+select 1, 'error', 'ConformError: declared names not given: [''amount''] (declared are [''order_id'', ''customer_name'', ''amount''])',
        1, 'pact_run_log.example', count(*) from orders
 """)
 def run_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,15 +51,15 @@ def test_bad_values(spark, rows, schema, message):
 
 
 def test_structure(spark, caplog):
-    with pytest.raises(ConformError, match="duplicate"):
+    with pytest.raises(ConformError, match="more than once"):
         conform(spark.sql("select 1 as id, 2 as id"), COLUMNS)
     extra = spark.sql("select 1L as id, '1' as amount, 'a' as email, 0 as tmp")
-    with pytest.raises(ConformError, match="undeclared.*tmp"):
+    with pytest.raises(ConformError, match="not declared.*tmp"):
         conform(extra, COLUMNS)
     with caplog.at_level(logging.WARNING):
         assert conform(extra, COLUMNS, "warn").columns == ["id", "amount", "email"]
-    assert "dropping undeclared" in caplog.text
-    with pytest.raises(ConformError, match="missing.*email"):
+    assert "columns left out" in caplog.text
+    with pytest.raises(ConformError, match="not given.*email"):
         conform(spark.sql("select 1 as id, '1' as amount"), COLUMNS)
     with pytest.raises(ValueError) as refused:
         conform(extra, COLUMNS, "ignore")
@@ -71,12 +71,12 @@ def test_first_rule_decides(spark):
     df = frame(spark, [(None, "x", "toolong")])
     with pytest.raises(ConformError, match="amount"):
         conform_verified(df, COLUMNS)
-    with pytest.raises(ConformError, match="duplicate"):
+    with pytest.raises(ConformError, match="more than once"):
         conform(spark.sql("select 1 as id, 1 as id, 1 as tmp"), COLUMNS)
 
 
 def test_names_are_case_sensitive(spark):
-    with pytest.raises(ConformError, match="undeclared.*ID"):
+    with pytest.raises(ConformError, match="not declared.*ID"):
         conform(spark.sql("select 1 as ID"), (Column("id", "INTEGER"),))
     both = spark.createDataFrame([(1, 2)], "a int, b int").toDF("ID", "id")
     assert conform(both, (Column("id", "INTEGER"),), "warn").collect()[0][0] == 2

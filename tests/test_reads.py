@@ -100,10 +100,10 @@ def test_context(spark):
     reads["late"] = "select 1"
     assert ctx.read("one") is first
     for name in ("late", "other"):
-        with pytest.raises(ReadError, match=r"undeclared read.*\['bad', 'dup', 'one'\]"):
+        with pytest.raises(ReadError, match=r"not among the reads.*\['bad', 'dup', 'one'\]"):
             ctx.read(name)
     for name in ("bad", "dup"):
-        with pytest.raises(ReadError, match=f"declared read '{name}' failed"):
+        with pytest.raises(ReadError, match=f"read '{name}' cannot be used"):
             ctx.read(name)
 
 
