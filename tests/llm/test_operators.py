@@ -125,6 +125,39 @@ def test_passages(spark):
     assert found[7] == [(0, 30_000)] and abs(found[21][0][1] - 90) <= 2
 
 
+def changed(words, share):
+    """So many of the words replaced, left out or followed by another one, at random places."""
+    out = list(words)
+    for k in sorted(RNG.sample(range(1, len(words) - 1), round(share * len(words))), reverse=True):
+        out[k:k + 1] = RNG.choice([["other"], ["other"], [], [words[k], "more"]])
+    return out
+
+
+def passages_by_document(spark, rows):
+    found = collections.defaultdict(list)
+    for r in repeated_passages(materialized(spark.createDataFrame(rows, "doc_id bigint, text string"), "docs")).collect():
+        found[r.doc].append((r.start, r.end))
+    return found
+
+
+def test_passages_with_many_changes(spark):
+    rows, alike = [], {}
+    for n, share in [(n, share) for n in (52, 60, 100) for share in (0.05, 0.1, 0.15, 0.2) for _ in range(12)]:
+        words = prose(n).split()
+        other = changed(words, share)
+        ids = {w: k for k, w in enumerate(dict.fromkeys(words + other))}
+        far = edit_distance(*(np.array([ids[w] for w in x], np.uint32) for x in (words, other)))
+        runs = [{tuple(x[k:k + 8]) for k in range(len(x) - 7)} for x in (words, other)]
+        # A run of 8 equal words has a seed for certain; from 52 words on a few may be lost at the ends.
+        alike[len(rows)] = bool(runs[0] & runs[1]) and far <= 0.2 * max(len(words), len(other)) - 1 and min(len(words), len(other)) >= 52
+        for x in (words, other):
+            rows.append((len(rows), f"{prose(30)} {' '.join(x)} {prose(30)}"))
+    found = passages_by_document(spark, rows)
+    certain = [i for i, yes in alike.items() if yes]
+    assert len(certain) > 90
+    assert [i for i in certain if not (found[i] and found[i + 1])] == []
+
+
 def test_chains_and_distance():
     assert chains_of([(0, 0, 10), (15, 14, 10), (18, 500, 9), (40, 41, 10)])[0] == [0, 1, 3]
     for _ in range(40):
