@@ -158,6 +158,19 @@ def test_passages_with_many_changes(spark):
     assert [i for i in certain if not (found[i] and found[i + 1])] == []
 
 
+def test_copies_made_of_frequent_sentences(spark):
+    rows, pairs = [], []
+    for parts, size in [(3, 18), (2, 26), (4, 13), (4, 25)] * 12:
+        sentences = [prose(size) for _ in range(parts)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + k, f"{prose(20)} {' '.join(sentences)} {prose(20)}") for k in (0, 1)]
+        rows += [(len(rows) + k, f"{prose(30)} {x} {prose(30)}") for _ in range(3) for k, x in enumerate(sentences)]
+    found = passages_by_document(spark, [(i, t) for i, (_, t) in enumerate(rows)])
+    copies = {i for pair in pairs for i in pair}
+    assert set(found) == copies
+    assert all(b - a >= 50 for i in copies for a, b in found[i])
+
+
 def test_chains_and_distance():
     assert chains_of([(0, 0, 10), (15, 14, 10), (18, 500, 9), (40, 41, 10)])[0] == [0, 1, 3]
     for _ in range(40):
