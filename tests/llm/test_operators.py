@@ -171,6 +171,15 @@ def test_copies_made_of_frequent_sentences(spark):
     assert all(b - a >= 50 for i in copies for a, b in found[i])
 
 
+def test_chains_look_past_what_is_too_far(spark):
+    assert sorted(chains_of([(0, 0, 200), (300, 300, 14), (320, 321, 14), (340, 342, 14)])) == [[0], [1, 2, 3]]
+    # Two good passages, an insertion in each, and 50 foreign words between them.
+    one, two = prose(70).split(), prose(70).split()
+    more = one[:35] + ["more"] + one[35:], two[:35] + ["more"] + two[35:]
+    found = passages_by_document(spark, [(1, " ".join([*one, prose(50), *two])), (2, " ".join([*more[0], prose(50), *more[1]]))])
+    assert all(len(v) == 2 and all(b - a >= 68 for a, b in v) for v in found.values()) and set(found) == {1, 2}
+
+
 def test_chains_and_distance():
     assert chains_of([(0, 0, 10), (15, 14, 10), (18, 500, 9), (40, 41, 10)])[0] == [0, 1, 3]
     for _ in range(40):
