@@ -6,11 +6,13 @@ phone number, the remainder mod 97 of a bank account (IBAN), the areas of a soci
 security number. A span's score starts at 0.5, gains 0.4 where a checksum holds, and
 0.2 where a word of its kind's context stands within 40 characters. The four base
 kinds are always reported; of the added kinds, those with a score of 0.6 or more, so a
-bank account needs its checksum and a social security number its context.
+bank account needs its checksum and a social security number its context. A bank
+account may start wherever its first four characters stand; what follows is cut to its
+country's length, and else taken as far as it goes, whichever the checksum confirms.
 
 Positions are code points, ends exclusive. All work is expressions over whole texts:
 a text is split by the pattern, so the lengths of the gaps and of the matches give
-the positions, and a gap's end is the context. The patterns cannot backtrack over
+the positions; the context is cut from the text. The patterns cannot backtrack over
 more than one run, so a very long text takes time in proportion.
 
 Edge cases: a null or empty text has no spans; repeated rows each have their own;
@@ -32,7 +34,7 @@ NEAR = 40
 #: Score from which a span of an added kind is reported.
 REPORTED = 0.6
 
-SPAN = "array<struct<start:int,end:int,match:string,near:string>>"
+SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,8 @@ class Kind:
     checksum: bool
     context: str
     base: bool = True
+    #: If the pattern finds starts only: the confirmed match at the beginning of a text, or null.
+    whole: Callable[[Column], Column] | None = None
 
 
 def _digits(value: Column) -> Column:
@@ -92,6 +96,26 @@ def mod97_valid(value: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+# The lengths of account numbers by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Characters of the longest account number, blanks between its groups counted.
+IBAN_LONGEST = 4 + 8 * 5
+
+
+def iban_at_start(text: Column) -> Column:
+    """The account number that a text begins with, if the checksum confirms one."""
+    ends = (((n - 4) // 4, (n - 4) % 4, countries.replace(" ", "|")) for n, countries in IBAN_LENGTHS.items())
+    cut = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{q}}}" + f"(?: ?[A-Z0-9]{{{r}}})" * (r > 0) for q, r, c in ends)
+    found = F.array(F.regexp_extract(text, f"^(?:{cut})", 0), F.regexp_extract(text, f"^(?:{IBAN})", 0))
+    return F.get(F.filter(found, mod97_valid), F.lit(0))
+
+
 def ssn_valid(value: Column) -> Column:
     """Three, two and four digits, in areas and groups that are given out."""
     return (
@@ -116,8 +140,8 @@ KINDS: tuple[Kind, ...] = (
          "[0-9](?:[ -]?[0-9]){12}", card_valid, True, r"\b(card|visa|mastercard|amex|credit|debit)\b"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]",
          r"\+[0-9]", phone_valid, False, r"\b(phone|tel|call|mobile|fax)\b"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-         "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", mod97_valid, True, r"\b(iban|account|bank|bic)\b", False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
+         "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", _always, True, r"\b(iban|account|bank|bic)\b", False, iban_at_start),
     Kind("ssn", r"(?:(?<![0-9])|\G)[0-9]++-[0-9]++-[0-9]++",
          "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn_valid, False, r"\b(ssn|social|security)\b", False),
 )
@@ -133,23 +157,35 @@ def proposed(text: Column, kind: Kind, digits: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
         return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(
-            start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(NEAR)).alias("near"),
+            start.alias("start"), end.alias("end"), x["match"].alias("match"),
         )).alias("found"))
 
+    def completed(s: Column) -> Column:
+        match = kind.whole(F.substring(text, s["start"] + 1, F.lit(IBAN_LONGEST)))
+        return F.transform(F.array(match), lambda m: F.struct(
+            s["start"].alias("start"), (s["start"] + F.length(m)).alias("end"), m.alias("match")))[0]
+
+    def apart(acc: Column, s: Column) -> Column:
+        free = s["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
+        return F.when(s["match"].isNotNull() & free, F.array_append(acc, s)).otherwise(acc)
+
     placed = F.aggregate(
         cut, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), place,
         lambda acc: F.filter(acc["found"], lambda s: s["match"].isNotNull() & kind.valid(s["match"])),
     )
+    if kind.whole:
+        placed = F.aggregate(F.transform(placed, completed), F.array().cast(SPAN), apart)
     empty = F.array().cast(SPAN)
     possible = text.rlike(kind.hint)
     return F.when((possible if kind.name == "email" else digits & possible), placed).otherwise(empty)
 
 
 def scored(spans: Column, kind: Kind, text: Column) -> Column:
-    """With a score instead of the match's surroundings; weak spans of added kinds go."""
+    """With a score instead of the match; weak spans of added kinds go."""
     def score(s: Column) -> Column:
+        before = F.substring(text, F.greatest(s["start"] + 1 - NEAR, F.lit(1)), F.least(s["start"], F.lit(NEAR)))
         after = F.substring(text, s["end"] + 1, F.lit(NEAR))
-        near = F.lower(s["near"]).rlike(kind.context) | F.lower(after).rlike(kind.context)
+        near = F.lower(before).rlike(kind.context) | F.lower(after).rlike(kind.context)
         return F.struct(
             F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
             (F.lit(0.9 if kind.checksum else 0.5) + F.when(near, 0.2).otherwise(0.0)).alias("score"),

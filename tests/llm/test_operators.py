@@ -231,6 +231,17 @@ def test_added_kinds_and_redaction(spark):
     assert texts[4] == "mail [EMAIL] or [IP]!" and texts[5] is None and texts[1].startswith("IBAN [IBAN], not")
 
 
+def test_spans_that_stand_close_together(spark):
+    rows = [(1, "SSN 123-45-6789, 234-56-7890"), (2, "SSN (1-2-3) 123-45-6789"), (3, "pay BE68 5390 0754 7034 BIC GKCCBEBB"),
+            (4, "AT61 1904 3002 3457 3201 EUR 50"), (5, "ES91 2100 0418 4502 0005 1332 DE89 3704 0044 0532 0130 00"),
+            (6, "NO12 BE68 5390 0754 7034"), (7, "ä PL61109010140000071219812874 IN"), (8, f"SSN {'x' * 37} 123-45-6789"), (9, "BE69 5390 0754 7034 BIC")]
+    frame = docs_of(spark, rows)
+    said = dict(with_spans(frame, "text", "spans").select("doc_id", spans_text(F.col("spans"))).collect())
+    assert said == {1: "ssn:4:15,ssn:17:28", 2: "ssn:12:23", 3: "iban:4:23", 4: "iban:0:24", 5: "iban:0:29,iban:30:57",
+                    6: "iban:5:24", 7: "iban:2:30", 8: "", 9: ""}
+    assert dict(redacted(frame).select("doc_id", "text").collect())[3] == "pay [IBAN] BIC GKCCBEBB"
+
+
 def test_quality(spark):
     good = [(i, prose(40)) for i in range(900)]
     bad = [(1000 + i, " ".join(w + "###" for w in prose(40).split())) for i in range(100)]
