@@ -8,12 +8,15 @@ one offset; per offset the slots are then compared: an item's value must stand f
 value of the document throughout, in at least ``CONSISTENT`` of the values, as it does
 when somebody has changed the parameters of a question, and as it does not when two
 texts merely share a form. A document holds an item if windows at consistent offsets
-cover at least ``COVERED`` of the item's windows.
+cover at least ``COVERED`` of the item's windows, or a run of ``RUN`` tokens at one
+offset. An item is looked for in the form that it has by itself and in that after another
+word, where its capitalised first word counts as a name.
 
 Items of fewer than ``WIDTH`` tokens, but at least ``SHORTEST``, are one window of their
-own length. Shorter items, and windows with fewer than ``LITERAL`` tokens that are not
-placeholders, are too common to tell anything and match nothing, and so does an item
-without an id. A null text is empty; equal rows are found alike; a null ``doc_id`` is an id like any other. Characters
+own length. Windows with fewer than ``LITERAL`` tokens that are not placeholders are too
+common to tell anything. Shorter items, and those that have no other windows, are
+compared by their words and numbers as they are; a single word matches nothing, and so
+does an item without an id. A null text is empty; equal rows are found alike; a null ``doc_id`` is an id like any other. Characters
 U+E000 to U+E002 in a text count as placeholders. Other columns are not looked at.
 """
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablepact.llm.common import free_name, materialized, text_of, words_of
@@ -31,6 +34,9 @@ SHORTEST = 5
 LITERAL = 4
 COVERED = 0.5
 CONSISTENT = 0.8
+RUN = 13
+#: An item by itself, after another word, and with its words and numbers as they are.
+ALONE, INSIDE, PLAIN = range(3)
 
 # Placeholders and what they stand for.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -57,6 +63,11 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", "")
 
 
+def _plain_words(text: Column) -> Column:
+    """Words and numbers in lower case, without punctuation."""
+    return words_of(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
+
+
 def _slot_values(text: Column) -> dict[str, Column]:
     """The values of each kind in the order of their placeholders."""
     numbered = _numbered(text)
@@ -74,21 +85,38 @@ def _window_hash(tokens: Column, at: Column, width: int) -> Column:
     return F.xxhash64(*[F.get(tokens, at + k) for k in range(width)])
 
 
+def _forms(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """Items with the forms in which placeholders count; that inside a text has a word before it, to be left out."""
+    items = benchmark.select(F.col(key).alias("_item"), text_of(text).alias("_text"))
+    alone = items.withColumn("_form", F.lit(ALONE))
+    inside = items.select("_item", F.concat(F.lit("a "), "_text").alias("_text"), F.lit(INSIDE).alias("_form"))
+    return alone.select("_item", "_text", "_form").union(inside)
+
+
 def _benchmark_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """Windows of all items: width, hash, item, position, number of the item's windows."""
+    """Windows of all items: form, width, hash, item, position, number of the item's windows in that form."""
     tokens = F.col("_tokens")
-    items = benchmark.select(F.col(key).alias("_item"), words_of(canonical(text_of(text))).alias("_tokens"))
-    items = items.where(F.size(tokens) >= SHORTEST).withColumn("_width", F.least(F.lit(WIDTH), F.size(tokens)))
-    placed = items.select(
-        "_item", "_tokens", "_width", F.explode(F.sequence(F.lit(0), F.size(tokens) - F.col("_width"))).alias("_at"))
+    known = words_of(canonical(F.col("_text")))
+    items = _forms(benchmark, key, text).select(
+        "_item", "_form", F.when(F.col("_form") == INSIDE, F.slice(known, F.lit(2), F.size(known))).otherwise(known).alias("_tokens"))
+
+    def placed(items: DataFrame) -> DataFrame:
+        sized = items.withColumn("_width", F.least(F.lit(WIDTH), F.size(tokens)))
+        return sized.select("_item", "_form", "_tokens", "_width", F.explode(F.sequence(F.lit(0), F.size(tokens) - F.col("_width"))).alias("_at"))
+
     literal = F.size(F.filter(F.slice(tokens, F.col("_at") + 1, F.col("_width")),
                               lambda t: ~t.isin(NUMBER, NAME, UNIT)))
     own_hash = reduce(
         lambda rest, w: F.when(F.col("_width") == w, _window_hash(tokens, F.col("_at"), w)).otherwise(rest),
-        range(SHORTEST, WIDTH + 1), F.lit(None).cast("bigint"))
-    windows = placed.where(literal >= LITERAL).select("_item", "_width", "_at", own_hash.alias("_hash"))
-    counted = windows.groupBy("_item").agg(F.count_distinct("_at").alias("_of"))
-    return windows.distinct().join(counted, "_item")
+        range(2, WIDTH + 1), F.lit(None).cast("bigint"))
+    columns = ["_item", "_form", "_width", "_at", own_hash.alias("_hash")]
+    typed = placed(items.where(F.size(tokens) >= SHORTEST)).where(literal >= LITERAL).select(*columns)
+    told = typed.where(F.col("_form") == ALONE).select("_item").distinct()
+    rest = benchmark.select(F.col(key).alias("_item"), F.lit(PLAIN).alias("_form"), _plain_words(text_of(text)).alias("_tokens"))
+    plain = placed(rest.join(told, "_item", "left_anti").where(F.size(tokens) >= 2)).select(*columns)
+    windows = typed.union(plain)
+    counted = windows.groupBy("_item", "_form").agg(F.count_distinct("_at").alias("_of"))
+    return windows.distinct().join(counted, ["_item", "_form"]).withColumn("_plain", F.col("_form") == PLAIN)
 
 
 def _slots(frame: DataFrame, text: Column, *keys: str) -> DataFrame:
@@ -119,35 +147,37 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id
     ``n_changed`` of them with another value than the item's; ``copies`` equal rows.
     """
     windows = materialized(_benchmark_windows(benchmark, item_key, item_text), "benchmark-windows")
-    widths = sorted(r[0] for r in windows.select("_width").distinct().collect())  # at most 4 values
+    widths = sorted(tuple(r) for r in windows.select("_plain", "_width").distinct().collect())  # at most 11 values
     source = docs.select(F.col(key).alias("_doc"), text_of(text).alias("_text"))
     source = source.select("_doc", "_text", F.xxhash64("_doc", "_text").alias("_print"))
-    tokens = F.col("_tokens")
-    tokenized = source.select("_doc", "_print", words_of(canonical(F.col("_text"))).alias("_tokens"))
+    plain = _plain_words(F.col("_text")) if any(p for p, _ in widths) else F.lit(None).cast("array<string>")
+    tokenized = source.select("_doc", "_print", words_of(canonical(F.col("_text"))).alias("_tokens"), plain.alias("_plain_tokens"))
 
-    def of_width(w: int) -> Column:
+    def of_width(kind: tuple[bool, int]) -> Column:
+        as_is, w = kind
+        tokens = F.col("_plain_tokens" if as_is else "_tokens")
         return F.when(F.size(tokens) >= w, F.transform(
             F.sequence(F.lit(0), F.size(tokens) - w),
-            lambda i: F.struct(F.lit(w).alias("_width"), i.alias("_at"), _window_hash(tokens, i, w).alias("_hash")),
+            lambda i: F.struct(F.lit(as_is).alias("_plain"), F.lit(w).alias("_width"), i.alias("_at"), _window_hash(tokens, i, w).alias("_hash")),
         )).otherwise(nothing)
 
-    nothing = F.array().cast("array<struct<_width:int,_at:int,_hash:bigint>>")
+    nothing = F.array().cast("array<struct<_plain:boolean,_width:int,_at:int,_hash:bigint>>")
     hashed = tokenized.select("_doc", "_print", F.concat(nothing, *map(of_width, widths)).alias("_windows"))
     # Not inline(): the optimizer would test each array for rows before, and so make it twice.
-    spread = hashed.select("_doc", "_print", F.inline_outer("_windows").alias("_width", "_doc_at", "_hash"))
+    spread = hashed.select("_doc", "_print", F.inline_outer("_windows").alias("_plain", "_width", "_doc_at", "_hash"))
     matches = materialized(
-        spread.join(windows.withColumnRenamed("_at", "_item_at"), ["_width", "_hash"])
-        .groupBy("_doc", "_print", "_item", "_item_at", "_doc_at", "_width", "_of").agg(F.count(F.lit(1)).alias("_copies"))
+        spread.join(windows.withColumnRenamed("_at", "_item_at"), ["_plain", "_width", "_hash"])
+        .groupBy("_doc", "_print", "_item", "_form", "_item_at", "_doc_at", "_width", "_of").agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_shift", F.col("_doc_at") - F.col("_item_at")),
         "benchmark-matches",
     )
-    pair = ["_print", "_item"]
+    pair = ["_print", "_item", "_form"]
     # Slots of matched windows only: first the item's, then the document's at the same offset.
-    item_slots = _slots(benchmark.select(F.col(item_key).alias("_item"), text_of(item_text).alias("_text")),
-                        F.col("_text"), "_item").distinct()
+    item_slots = _slots(_forms(benchmark, item_key, item_text), F.col("_text"), "_item", "_form").withColumn(
+        "_slot_at", F.col("_slot_at") - F.when(F.col("_form") == INSIDE, 1).otherwise(0)).distinct()
     inside = F.col("_slot_at").between(F.col("_item_at"), F.col("_item_at") + F.col("_width") - 1)
     wanted = materialized(
-        matches.join(item_slots.withColumnRenamed("_value", "_item_value"), "_item").where(inside)
+        matches.join(item_slots.withColumnRenamed("_value", "_item_value"), ["_item", "_form"]).where(inside)
         .select(*pair, "_shift", (F.col("_slot_at") + F.col("_shift")).alias("_slot_at"), "_kind", "_item_value").distinct(),
         "benchmark-slots",
     )
@@ -164,11 +194,22 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id
         (F.count_if(F.col("_values") == 1) >= CONSISTENT * F.count(F.lit(1))).alias("_consistent"),
     ), "benchmark-offsets")
     refuted = by_shift.where(~F.col("_consistent")).select(*pair, "_shift")
+    left = matches.join(refuted, [*pair, "_shift"], "left_anti")
+    # Windows one after the other at one offset are a run; an offset has no more windows than the item.
+    at_offset = Window.partitionBy("_doc", *pair, "_shift").orderBy("_item_at")
+    of_run = Window.partitionBy("_doc", *pair, "_shift", "_run")
+    runs = left.withColumn("_run", F.col("_item_at") - F.dense_rank().over(at_offset)).withColumn(
+        "_length", F.max("_item_at").over(of_run) - F.min("_item_at").over(of_run) + F.col("_width"))
+    share = F.col("n_windows") >= COVERED * F.col("item_windows")
     covered = (
-        matches.join(refuted, [*pair, "_shift"], "left_anti").groupBy("_doc", *pair)
-        .agg(F.count_distinct("_item_at").alias("n_windows"), F.max("_of").alias("item_windows"), F.max("_copies").alias("copies"))
-        .where(F.col("n_windows") >= COVERED * F.col("item_windows"))
+        runs.groupBy("_doc", *pair)
+        .agg(F.count_distinct("_item_at").alias("n_windows"), F.max("_of").alias("item_windows"), F.max("_copies").alias("copies"),
+             F.max("_length").alias("_longest"))
+        .where(share | (F.col("_longest") >= RUN))
     )
+    # One form of an item: the first that has the share, else the first that has the run.
+    best = F.min_by(F.struct("_form", "n_windows", "item_windows", "copies"), F.struct(~share, F.col("_form")))
+    covered = covered.groupBy("_doc", "_print", "_item").agg(best.alias("_best")).select("_doc", "_print", "_item", "_best.*")
     compared = by_shift.where("_consistent").groupBy(*pair).agg(
         F.sum("_slots").alias("n_slots"), F.sum("_changed").alias("n_changed"))
     return covered.join(compared, pair, "left").select(

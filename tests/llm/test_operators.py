@@ -279,6 +279,17 @@ def test_decontamination(spark):
     assert contained_items(frame, items.where("false")).isEmpty() and contained_items(frame.where("false"), items).isEmpty()
 
 
+def test_decontamination_of_runs_and_slots(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(37)]
+    two = words[:14] + ["xx"] + words[15:22] + ["yy"] + words[23:]
+    sums, short, one = "Compute 12 + 34 - 56 * 78", "red blue green", "Give seven good reasons for rain"
+    items = spark.createDataFrame([(0, " ".join(words)), (1, sums), (2, short), (3, one)], "item_id bigint, text string")
+    texts = [" ".join(two), f"{prose(30)} {' '.join(words[8:28])} {prose(30)}", f"{prose(9)} {sums} {prose(9)}", "so compute 12 + 34 - 56 * 79",
+             f"{prose(9)} Red, blue, green {prose(9)}", "blue green red", f"{prose(9)} {one} {prose(9)}", " ".join(words[8:20])]
+    found = contained_items(docs_of(spark, list(enumerate(texts))), items).collect()
+    assert sorted((r.doc, r.item) for r in found) == [(0, 0), (1, 0), (2, 1), (4, 2), (6, 3)]
+
+
 def test_token_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
