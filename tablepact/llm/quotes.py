@@ -1,9 +1,10 @@
 """Conversations in reply order, their quotations linked and taken out.
 
 A line's quote level is the number of ``>`` before its text. Lines of level 0 are the
-message's own words. Quoted blocks and own words are put on one line and cut into
-sentences, so a quotation is found however it was wrapped; sentences are compared by a
-hash of their lower-case letters and digits. The original of a sentence is the first
+message's own words. Quoted blocks and own words are cut into passages: paragraphs,
+lines, and sentences over the lines of a paragraph, so a quotation is found however it
+was wrapped; own words before and after a quotation are apart. Passages are compared by
+a hash of their lower-case letters and digits. The original of a passage is the first
 message of the conversation that says it in own words; a quotation refers to it if it
 is later. A message replies to the latest original among its quotations of the
 shallowest level that has one: deeper levels are what the quoted message quoted itself.
@@ -17,9 +18,9 @@ No conversation is gathered anywhere: originals are found by aggregation, thread
 following links in doubling steps, positions by a range sort, whose partitions a long
 conversation may fill, and the counts of each conversation in the earlier partitions.
 
-Edge cases: a null text is empty. Sentences of fewer than ``SHORTEST`` characters link
-nothing. A message with a null conversation or turn links nothing and is a thread of
-its own. Messages with equal conversation and turn count as one for links, and each
+Edge cases: a null text is empty. Passages of fewer than ``SHORTEST`` characters link
+only where they are a whole message and a whole quoted block. A message with a null
+conversation or turn links nothing and is a thread of its own. Messages with equal conversation and turn count as one for links, and each
 keeps its row; so do equal rows. Quotations of nobody are taken out as well, and
 counted. Other columns are dropped.
 """
@@ -41,6 +42,7 @@ SHORTEST = 8
 ROWS = 1000
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _WROTE = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$")
 _PLAIN = re.compile(r"[\W_]+")
 
@@ -56,7 +58,14 @@ def levels(text: str) -> list[tuple[int, str]]:
 
 def parted(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The text without quotations, and the quoted blocks with their levels."""
+    kept, _, blocks = parted_apart(text)
+    return kept, blocks
+
+
+def parted_apart(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
+    """As ``parted``, and the own words between quotations."""
     own: list[str] = []
+    breaks: list[int] = []
     blocks: list[tuple[int, list[str]]] = []
     before = 0
     for level, line in levels(text):
@@ -66,17 +75,47 @@ def parted(text: str) -> tuple[str, list[tuple[int, str]]]:
                 while not before and own and (not own[-1].strip() or _WROTE.search(own[-1])):
                     if own.pop().strip():
                         break
+                if not before:
+                    breaks.append(len(own))
             blocks[-1][1].append(line)
         else:
             own.append(line)
         before = level
     kept = "\n".join(own).strip("\n") if blocks else text
-    return kept, [(level, "\n".join(lines)) for level, lines in blocks]
-
-
-def sentence_hashes(text: str) -> list[int]:
-    plain = (_PLAIN.sub("", s).lower() for s in _SENTENCE.split(" ".join(text.split())))
-    return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "replace")) - 2**63 for p in plain if len(p) >= SHORTEST]
+    parts = ["\n".join(own[a:b]) for a, b in zip([0, *breaks], [*breaks, len(own)])]
+    return kept, parts, [(level, "\n".join(lines)) for level, lines in blocks]
+
+
+def passage_hashes(text: str) -> list[int]:
+    """Hashes of a text's paragraphs, lines and sentences, and of a whole text that is short."""
+    found = {}
+    for paragraph in _PARAGRAPH.split(text):
+        lines = [x for x in paragraph.split("\n") if x.strip()]
+        for passage in (" ".join(lines), *lines, *_SENTENCE.split(" ".join(paragraph.split())),
+                        *(x for line in lines for x in _SENTENCE.split(line.strip()))):
+            plain = _PLAIN.sub("", passage).lower()
+            if len(plain) >= SHORTEST:
+                found[_hash(plain)] = None
+    whole = _PLAIN.sub("", text).lower()
+    if 0 < len(whole) < SHORTEST:
+        found[_hash(whole)] = None
+    return list(found)
+
+
+def said_hashes(parts: list[str]) -> list[int]:
+    """Hashes of own words; those between quotations are short only if nothing else is said."""
+    spoken = [p for p in parts if p.strip()]
+    found = dict.fromkeys(h for p in spoken for h in passage_hashes(p))
+    if len(spoken) > 1:
+        for p in spoken:
+            whole = _PLAIN.sub("", p).lower()
+            if 0 < len(whole) < SHORTEST:
+                found.pop(_hash(whole), None)
+    return list(found)
+
+
+def _hash(plain: str) -> int:
+    return xxhash.xxh3_64_intdigest(plain.encode("utf-8", "replace")) - 2**63
 
 
 def _parsed(messages: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
@@ -89,11 +128,11 @@ def _parsed(messages: DataFrame, conversation: str, turn: str, role: str, text:
                 batch = whole.slice(a, ROWS)
                 own, n, said, quoted = [], [], [], []
                 for value in batch.column(3).to_pylist():
-                    kept, blocks = parted(value)
+                    kept, parts, blocks = parted_apart(value)
                     own.append(kept)
                     n.append(len(blocks))
-                    said.append(list(dict.fromkeys(sentence_hashes(kept))))
-                    quoted.append([{"level": level, "hash": h} for level, block in blocks for h in dict.fromkeys(sentence_hashes(block))])
+                    said.append(said_hashes(parts))
+                    quoted.append([{"level": level, "hash": h} for level, block in blocks for h in passage_hashes(block)])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).cast(schema.types[i]) for i in range(3)), *(pa.array(v, t) for v, t in zip((own, n, said, quoted), schema.types[3:]))],
                     schema=schema)
@@ -106,7 +145,7 @@ def _parsed(messages: DataFrame, conversation: str, turn: str, role: str, text:
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
-    """``conv, turn, parent, linked``: the turn replied to, and how many quoted sentences are linked."""
+    """``conv, turn, parent, linked``: the turn replied to, and how many quoted passages are linked."""
     asked = parsed.select("conv", "turn", F.inline("quoted")).where("conv is not null and turn is not null").distinct()
     said = parsed.select("conv", "turn", F.explode("said").alias("hash"))
     # Only what is quoted at all needs an original.

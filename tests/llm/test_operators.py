@@ -364,6 +364,15 @@ def test_quotes(spark):
     assert conversations_in_reply_order(frame.where("false")).isEmpty()
 
 
+def test_quotes_of_lines_and_short_messages(spark):
+    texts = ["Hello Bob,\n\nI liked the talk.", "> I liked the talk.\nMe too.", "- buy some apples\n- sell some pears", "> - sell some pears\nWhy pears",
+             "Why?", "> Why?\nBecause.", "First half of it\n> - buy some apples\nsecond half of it", "> second half of it\nYes."]
+    rows = [(1, k, "a", t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = {r.turn: r.parent for r in conversations_in_reply_order(frame).collect()}
+    assert found == {0: None, 1: 0, 2: None, 3: 2, 4: None, 5: 4, 6: 2, 7: 6}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
