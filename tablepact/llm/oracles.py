@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from tablepact.llm.quality import CUTOFFS, Limits
+from tablepact.llm.reputation import TWO_LABEL_SUFFIXES
+from tablepact.llm.reputation import Limits as UrlLimits
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -163,3 +167,110 @@ def decontamination_steps(documents: str = "documents") -> str:
 def decontamination() -> str:
     return f"""with {decontamination_steps()}
     select doc_id, item_id, n_windows, item_windows, n_slots, n_changed, copies from held"""
+
+
+def url_verdicts(rules: Sequence[tuple[str, str]], number: str, pages: str = "pages", labels: str = "labels") -> str:
+    """Verdicts by rules, else by the posterior of the host; the beta distribution as a sum of its series."""
+    limits = UrlLimits()
+    usual, least, most = limits.spread
+    listed = ", ".join(f"('{verdict}', '{text.partition('/')[0]}', '/{text.partition('/')[2]}', '{text}')" for verdict, text in rules)
+    suffixes = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    dots = {k: f"array_to_string(labels[-{k}:], '.')" for k in (1, 2, 3)}
+
+    known = "(1 / (1 / (s + 1) + 1 / (weight + 1)) - 1)"
+
+    def strength(groups: str) -> str:
+        return f"""(select case when sum(n - 1) > 0 then 1 / least({most}, greatest({least},
+            (sum(n * (k / n - above) * (k / n - above) / (above * (1 - above))) - count(*)) / sum(n - 1))) - 1
+            else 1 / {usual}::double - 1 end as s from {groups} where n > 0)"""
+
+    return rf"""
+    with shown as (
+        select page_id, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') as h0,
+            coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path,
+            try_cast(regexp_extract(url, '{number}', 1) as bigint) as doc_id from {pages}),
+    bad as (select doc_id, bool_or(coalesce(quality = 0, false) or coalesce(toxic = 1, false)) as bad
+        from {labels} where quality is not null or toxic is not null group by doc_id),
+    known as (select page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path, bad.bad
+        from shown left join bad on shown.doc_id = bad.doc_id),
+    hosts as (select host, count(bad)::double as n, (count(*) filter (where bad))::double as k,
+        regexp_replace(host, '\.?(:[0-9]*)?$', '') as name from known group by host),
+    split as (select *, string_split(name, '.') as labels, regexp_matches(name, '^[0-9.]+$|[\[\]:]') as address from hosts),
+    placed as (select *, {dots[2]} in ({suffixes}) as long from split),
+    named as (select *, case when address then name when long then {dots[2]} else {dots[1]} end as suffix,
+        case when address or len(labels) < 2 then name when long then {dots[3]} else {dots[2]} end as domain from placed),
+    overall as (select (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as above, coalesce(sum(n), 0) + 1 as weight from named),
+    suffixes as (select suffix, sum(n) as n, sum(k) as k, any_value(above) as above, any_value(weight) as weight from named, overall group by suffix),
+    suffix_means as (select suffix, ({known} * above + k) / ({known} + n) as above, {known} + n as weight from suffixes, {strength("suffixes")}),
+    domains as (select suffix, domain, sum(n) as n, sum(k) as k, any_value(above) as above, any_value(weight) as weight
+        from named join suffix_means using (suffix) group by suffix, domain),
+    domain_means as (select domain, ({known} * above + k) / ({known} + n) as above, {known} + n as weight from domains, {strength("domains")}),
+    rated as (select host, n, k, above, weight from named join domain_means using (domain)),
+    posterior as (select host, n, k, {known} * above + k as a, {known} * (1 - above) + n - k as b from rated, {strength("rated")}),
+    judged as (select host, n, k, a / (a + b) as mean, 1 - list_sum(list_transform(range(20000), lambda i:
+        exp((a + i) * ln({limits.most_bad}) + b * ln(1 - {limits.most_bad}) + lgamma(a + b + i) - lgamma(b) - lgamma(a + 1 + i)))) as p_above from posterior),
+    rules(verdict, own, start, rule) as (values {listed}),
+    fitting as (select host, path, rule, verdict, row_number() over (partition by host, path order by length(rule) desc, length(own) desc, rule) as place
+        from (select distinct host, path from known) join rules on (host = own or ends_with(host, '.' || own)) and starts_with(path, start))
+    select known.page_id, known.host, known.path, f.rule, coalesce(f.verdict, case when p_above >= {limits.confidence} then 'block' else 'allow' end) as verdict,
+        n::bigint as n_labelled, k::bigint as n_bad, round(mean, 6) as mean_bad, round(greatest(p_above, 0), 6) as p_above
+    from known join judged on known.host = judged.host
+    left join (select * from fitting where place = 1) f on f.host = known.host and f.path = known.path
+    """
+
+
+def spelling(documents: str = "documents") -> str:
+    """Near words by what is left of them without one code point, in place of composed machines."""
+    return r"""
+    with recursive crc_table as (select list(v order by n) as tab from (
+        select n, list_reduce([n::ubigint] || range(8)::ubigint[], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end) as v from range(256) r(n))),
+    runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-zÀ-ÿ]+')) as run from DOCUMENTS),
+    long as (select id, run, count(*) as c, hex(encode(id || ':' || run)) as bytes from runs where length(run) >= 7 group by id, run),
+    hashed as (select run, c, xor(list_reduce([4294967295::ubigint] || list_transform(range(1, length(bytes), 2), lambda i: ('0x' || substr(bytes, i, 2))::ubigint),
+        lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::bigint])), 4294967295::ubigint) as h from long, crc_table),
+    altered as (select c, case when h % 31 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word from hashed),
+    vocabulary as (select word, sum(c)::bigint as n from altered where length(word) >= 7 group by word having sum(c) >= 2),
+    less as (select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(0, length(word))) as i from vocabulary)),
+    near as (
+        select a.word, b.word as other from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+        union select a.word, v.word from less a join vocabulary v on a.rest = v.word
+        union select v.word, a.word from less a join vocabulary v on a.rest = v.word),
+    best as (select near.word, count(*) as n_near, max(v.n) as most, list(near.other order by v.n desc, near.other)[1] as other
+        from near join vocabulary v on v.word = near.other group by near.word),
+    formed as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when most >= 10 * v.n then other end as form, case when most >= 10 * v.n then most end as form_n
+        from vocabulary v left join best on v.word = best.word),
+    followed(word, last, depth) as (select word, word, 0 from formed
+        union all select f.word, g.form, depth + 1 from followed f join formed g on g.word = f.last where g.form is not null)
+    select word, form, root, n, n_near::bigint as n_near, form_n from formed
+    join (select word as w, max_by(last, depth) as root from followed group by word) on w = word
+    """.replace("DOCUMENTS", documents)
+
+
+def filter_audit(documents: str = "documents", labels: str = "labels") -> str:
+    """Every order applied to every kind of document, step by step."""
+    return rf"""
+    with texts as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, {WORDS.format("coalesce(text, '')")} as w from {documents}),
+    judged as (select doc_id, part,
+        case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+        || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end
+        || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+        || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as fails from texts),
+    marked as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from {labels} where doc_id is not null group by doc_id),
+    counted as (select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+        from judged left join marked on judged.doc_id = marked.doc_id group by part, fails),
+    l(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+    orders as (select a.x || b.x || c.x || d.x || e.x as o from l a, l b, l c, l d, l e
+        where b.x <> a.x and c.x not in (a.x, b.x) and d.x not in (a.x, b.x, c.x) and e.x not in (a.x, b.x, c.x, d.x)),
+    gone as (select part, o, list_min(list_transform(range(1, 6), lambda i: case when contains(fails, substr(o, i, 1)) then i end)) as step, n, good, toxic
+        from counted, orders),
+    removed as (select part, o, step, sum(n) as n, sum(good) as good, sum(toxic) as toxic from gone where step is not null group by all),
+    steps as (select part, o, step, substr(o, step, 1) as x, total from (select part, sum(n) as total from counted group by part), orders, range(1, 6) s(step)),
+    fails as (select part, x, coalesce(sum(n) filter (where contains(fails, x)), 0) as failing, coalesce(sum(n) filter (where fails = x), 0) as alone from counted, l group by part, x),
+    every as (select s.part, s.o, s.step::int as step, s.x, total, coalesce(n, 0) as n, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+        from steps s left join removed r on r.part = s.part and r.o = s.o and r.step = s.step)
+    select e.part, o as filter_order, step, (total - sum(n) over (partition by e.part, o order by step))::bigint as kept, n::bigint as removed,
+        (failing - n)::bigint as redundant, alone::bigint as unique_fails, good::bigint as good_lost, toxic::bigint as toxic_lost,
+        (sum(n) over (partition by e.part, e.x))::bigint as shapley
+    from every e join fails f on f.part = e.part and f.x = e.x
+    """

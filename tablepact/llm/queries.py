@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.llm import oracles
+from tablepact.llm.audit import interactions, masks
 from tablepact.llm.common import table
 from tablepact.llm.decontaminate import contained_items
 from tablepact.llm.jaccard import linked_documents
@@ -17,7 +18,9 @@ from tablepact.llm.passages import repeated_passages
 from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 from tablepact.llm.quotes import conversations_in_reply_order
+from tablepact.llm.reputation import Rule, judged_urls
 from tablepact.llm.sharding import placed
+from tablepact.llm.spelling import variant_groups, vocabulary
 from tablepact.llm.tokenfiles import read_token_files, write_token_files
 from tablepact.llm.tokens import bpe_digests, encoded_by_words, tokenizer
 from tablepact.session import scratch_dir
@@ -97,13 +100,43 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(docs, "doc_id", [f"shard-{i:03d}" for i in range(256)])
 
 
+PAGE_NUMBER = "://[^/?#]*/[^/?#]*/([0-9]{1,18})([^0-9]|$)"
+#: The rules that the url query applies before reputations.
+URL_RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    # A page shows the document whose number follows the language in its path.
+    number = F.regexp_extract("url", PAGE_NUMBER, 1).try_cast("bigint")
+    bad = labels.where("quality is not null or toxic is not null").groupBy("doc_id").agg(
+        F.bool_or(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    shown = pages.withColumn("doc_id", number).join(bad, "doc_id", "left").drop("doc_id")
+    judged, j = judged_urls(shown, URL_RULES)
+    return judged.select("page_id", f"{j}.host", f"{j}.path", f"{j}.rule", f"{j}.verdict", f"{j}.n_labelled", f"{j}.n_bad",
+                         F.round(F.col(j)["mean"], 6).alias("mean_bad"), F.round(F.col(j)["p_above"], 6).alias("p_above"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), altered=31))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return interactions(masks(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_substring_dedup, op2_quotation_linking, op3_lm_scoring, op4_pii, op5_quality_rules,
     op6_bpe, op7_decontamination, op8_token_output, op9_jaccard_join, op10_sharding,
+    op11_url_filters, op12_spelling_variants, op13_filter_audit,
 )}
 
 ORACLES: dict[str, str] = {
     "op4_pii": oracles.pii(),
     "op5_quality_rules": oracles.quality(),
     "op7_decontamination": oracles.decontamination(),
+    "op11_url_filters": oracles.url_verdicts([(r.verdict, r.text) for r in URL_RULES], PAGE_NUMBER),
+    "op12_spelling_variants": oracles.spelling(),
+    "op13_filter_audit": oracles.filter_audit(),
 }
