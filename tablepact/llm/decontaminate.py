@@ -17,7 +17,9 @@ own length. Windows with fewer than ``LITERAL`` tokens that are not placeholders
 common to tell anything. Shorter items, and those that have no other windows, are
 compared by their words and numbers as they are; a single word matches nothing, and so
 does an item without an id. A null text is empty; equal rows are found alike; a null ``doc_id`` is an id like any other. Characters
-U+E000 to U+E002 in a text count as placeholders. Other columns are not looked at.
+U+E000 to U+E002 in a text count as placeholders. Other columns are not looked at. An item
+that repeats one stretch over and over matches a document that does the same at every
+pair of places.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ ALONE, INSIDE, PLAIN = range(3)
 
 # Placeholders and what they stand for.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
-NUMBERS = "[0-9]+(?:[.,:/][0-9]+)*"
+# Groups that repeat never give back what they took: the matcher would go one call deeper for each repetition.
+NUMBERS = "[0-9]++(?:[.,:/][0-9]++)*+"
 UNITS = (
     "(" + NUMBER + " +)(kilometers|kilometres|kilograms|centimeters|centimetres|meters|metres|grams|liters|litres|"
     "hours|hour|minutes|minute|seconds|days|day|weeks|months|years|dollars|euros|cents|percent|miles|feet|inches|"
     "pounds|degrees|km|kg|cm|mm|ml|mg|lb|oz|ft|mph|[%$€£])"
 )
-NAMES = r"([\p{L}\p{N}" + NUMBER + UNIT + r",;] +)\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+NAMES = r"([\p{L}\p{N}" + NUMBER + UNIT + r",;] +)\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+"
 
 
 def _numbered(text: Column) -> Column:

@@ -79,7 +79,6 @@ _SQL_KINDS = {
            "len(list_filter(string_split(s.m, '.'), lambda p: len(ltrim(p, '0')) > 3 or coalesce(try_cast(ltrim(p, '0') as int), 0) > 255)) = 0", 0.5, True),
     "card": (r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) between 13 and 19 and {_LUHN}", 0.9, True),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) between 9 and 15", 0.5, True),
-    "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"len(replace(s.m, ' ', '')) between 15 and 34 and {_MOD97}", 0.9, False),
     "ssn": (r"[0-9]+-[0-9]+-[0-9]+",
             "regexp_matches(s.m, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') and not regexp_matches(s.m, '^(000|666|9)|-00-|-0000$')", 0.5, False),
 }
@@ -87,22 +86,38 @@ _SQL_KINDS = {
 
 def pii_steps(documents: str = "documents") -> str:
     """Common table expressions up to ``found``: a row per span; ``p_docs`` numbers the rows."""
-    from tablepact.llm.pii import KINDS, NEAR, REPORTED
+    from tablepact.llm.pii import IBAN, IBAN_LENGTHS, IBAN_LONGEST, KINDS, NEAR, REPORTED
 
     context = {k.name: k.context for k in KINDS}
+    order = [k.name for k in KINDS]
     parts = []
-    for at, (kind, (pattern, valid, score, base)) in enumerate(_SQL_KINDS.items()):
-        parts.append(rf"""
-        select r, {at} as nth, '{kind}' as kind, {str(base).lower()} as base, s.a as a, s.b as b,
-            {score} + case when regexp_matches(lower(s.near), '{context[kind]}') or regexp_matches(lower(t[s.b + 1:s.b + {NEAR}]), '{context[kind]}')
-                then 0.2 else 0 end as score
-        from (select r, t, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
-                'm': found[i], 'near': right(gaps[i], {NEAR}),
+
+    def scored(kind: str, spans: str, score: float, base: bool) -> str:
+        return rf"""
+        select r, {order.index(kind)} as nth, '{kind}' as kind, {str(base).lower()} as base, s.a as a, s.b as b,
+            {score} + case when regexp_matches(lower(substr(t, greatest(s.a + 1 - {NEAR}, 1)::bigint, least(s.a, {NEAR})::bigint)), '{context[kind]}')
+                or regexp_matches(lower(t[(s.b + 1)::bigint:(s.b + {NEAR})::bigint]), '{context[kind]}') then 0.2 else 0 end as score
+        from ({spans})"""
+
+    for kind, (pattern, valid, score, base) in _SQL_KINDS.items():
+        parts.append(scored(kind, rf"""select * from (select r, t, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
+                'm': found[i],
                 'a': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0),
                 'b': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i], lambda g: length(g))), 0)}})) as s
             from (select r, t, regexp_extract_all(t, '{pattern}') as found, string_split_regex(t, '{pattern}') as gaps from p_docs
-                where regexp_matches(t, '{pattern}')))
-        where {valid}""")
+                where regexp_matches(t, '{pattern}'))) where {valid}""", score, base))
+    lengths = ((n, countries.replace(" ", "|")) for n, countries in IBAN_LENGTHS.items())
+    own = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f"(?: ?[A-Z0-9]{{{(n - 4) % 4}}})" * ((n - 4) % 4 > 0) for n, c in lengths)
+    confirmed = f"len(replace(s.m, ' ', '')) between 15 and 34 and {_MOD97}"
+    spans = rf"""
+        select r, t, unnest(list_reduce(list([{{'a': s.a, 'b': s.a + length(s.m)}}] order by s.a), lambda x, y: case when y[1].a >= x[-1].b then x || y else x end)) as s
+        from (select r, t, any_value(s order by way) as s from (
+            select r, t, way, {{'a': i - 1, 'm': case way when 0 then regexp_extract(tail, '^(?:{own})') else regexp_extract(tail, '^(?:{IBAN})') end}} as s
+            from (select r, t, i, substr(t, i, {IBAN_LONGEST}) as tail from (select r, t, unnest(range(1, length(t) + 1)) as i from p_docs
+                where regexp_matches(t, '[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}')) where regexp_matches(substr(t, i, 9), '^[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}')), (values (0), (1)) w(way))
+            where {confirmed} group by r, t, s.a)
+        group by r, t"""
+    parts.append(scored("iban", spans, 0.9, False))
     return f"""
     p_docs as (select row_number() over () as r, coalesce(text, '') as t, * from {documents}),
     found as (select *, kind || ':' || a || ':' || b as said from ({' union all '.join(parts)}) where base or score >= {REPORTED})"""
@@ -110,58 +125,78 @@ def pii_steps(documents: str = "documents") -> str:
 
 def pii() -> str:
     return f"""with {pii_steps()}
-    select doc_id, {', '.join(f"count(said) filter (kind = '{kind}') as n_{kind}" for kind in _SQL_KINDS)},
+    select doc_id, {', '.join(f"count(said) filter (kind = '{kind}') as n_{kind}" for kind in (*_SQL_KINDS, 'iban'))},
         count(said) filter (score > 0.6) as n_confirmed,
         sha256(coalesce(string_agg(said, ',' order by nth, a) filter (base), '')) as base_sha256,
         coalesce(string_agg(said, ',' order by nth, a), '') as spans
     from p_docs left join found using (r) group by r, doc_id"""
 
 
-def decontamination_steps(documents: str = "documents") -> str:
+def decontamination_steps(documents: str = "documents", benchmark: str = "benchmark") -> str:
     """Common table expressions up to ``held``: a row per distinct document and item it holds."""
     from tablepact.llm import decontaminate as d
 
     marks = "".join((d.NUMBER, d.NAME, d.UNIT))
+    # RE2 never goes deeper, and has no word for groups that give nothing back.
+    numbers, names = (x.replace("++", "+").replace("*+", "*") for x in (d.NUMBERS, d.NAMES))
 
-    def steps(source: str, name: str, key: str) -> str:
-        numbered = f"regexp_replace(t, '{d.NUMBERS}', ' {d.NUMBER} ', 'g')"
+    def steps(name: str) -> str:
+        numbered = f"regexp_replace(t, '{numbers}', ' {d.NUMBER} ', 'g')"
         united = rf"regexp_replace(n, '{d.UNITS}', '\1 {d.UNIT} ', 'g')"
-        named = rf"regexp_replace(u, '{d.NAMES}', '\1 {d.NAME} ', 'g')"
+        named = rf"regexp_replace(u, '{names}', '\1 {d.NAME} ', 'g')"
         return rf"""
-    {name}_1 as (select {key} as k, coalesce(text, '') as t, count(*) as copies from {source} group by all),
+    {name}_1 as (select k, form, t, count(*) as copies from {name}_0 group by all),
     {name}_2 as (select *, row_number() over () as r, {numbered} as n from {name}_1),
     {name}_3 as (select *, {united} as u from {name}_2),
     {name}_4 as (select *, {WORDS.format(rf"regexp_replace(lower({named}), '[^\p{{L}}\p{{N}}{marks}\x20\x09-\x0D]+', '', 'g')")} as w,
-        list_transform(regexp_extract_all(t, '({d.NUMBERS}|{d.NUMBER})'), lambda v: v) as v0,
+        {WORDS.format(r"regexp_replace(lower(t), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g')")} as plain,
+        list_transform(regexp_extract_all(t, '({numbers}|{d.NUMBER})'), lambda v: v) as v0,
         list_transform(regexp_extract_all(n, '{d.UNITS}|({d.UNIT})', 2), lambda v: lower(v)) as v1,
-        list_transform(regexp_extract_all(u, '{d.NAMES}|{d.NAME}'), lambda v: lower(regexp_extract(v, '\p{{Lu}}.*$'))) as v2 from {name}_3),
-    {name}_slots as ({' union all '.join(f'''select r, a - 1 as slot, {i} as kind, v{i}[row_number() over (partition by r order by a)] as value
-        from (select r, v{i}, unnest(w) as token, generate_subscripts(w, 1) as a from {name}_4) where token = '{m}' '''
-        for i, m in enumerate((d.NUMBER, d.UNIT, d.NAME)))})"""
-
-    return rf"""{steps(documents, 'dd', 'doc_id')},{steps('benchmark', 'bb', 'item_id')},
-    bb_windows as (select *, count(distinct item_at) over (partition by k) as of_item from (
-        select r, k, width, item_at, w[item_at + 1:item_at + width] as g from (
-            select r, k, w, least({d.WIDTH}, len(w)) as width, unnest(range(0, len(w) - least({d.WIDTH}, len(w)) + 1)) as item_at
-            from bb_4 where len(w) >= {d.SHORTEST} and k is not null))
+        list_transform(regexp_extract_all(u, '{names}|{d.NAME}'), lambda v: lower(regexp_extract(v, '\p{{Lu}}.*$'))) as v2 from {name}_3),
+    {name}_slots as (select distinct k, form, r, slot - case form when {d.INSIDE} then 1 else 0 end as slot, kind, value from (
+        {' union all '.join(f'''select k, form, r, a - 1 as slot, {i} as kind, v{i}[row_number() over (partition by r order by a)] as value
+        from (select k, form, r, v{i}, unnest(w) as token, generate_subscripts(w, 1) as a from {name}_4) where token = '{m}' '''
+        for i, m in enumerate((d.NUMBER, d.UNIT, d.NAME)))}))"""
+
+    def windows(tokens: str) -> str:
+        return f"""select k, form, width, item_at, w[item_at + 1:item_at + width] as g from (
+            select *, unnest(range(0, len(w) - width + 1)) as item_at from (select *, least({d.WIDTH}, len(w)) as width from ({tokens})))"""
+
+    return rf"""
+    dd_0 as (select doc_id as k, {d.ALONE} as form, coalesce(text, '') as t from {documents}),
+    bb_0 as (select item_id as k, {d.ALONE} as form, coalesce(text, '') as t from {benchmark} where item_id is not null
+        union all select item_id, {d.INSIDE}, 'a ' || coalesce(text, '') from {benchmark} where item_id is not null),{steps('dd')},{steps('bb')},
+    bb_typed as (select * from ({windows(f"select k, form, case form when {d.INSIDE} then w[2:] else w end as w from bb_4 where len(w) - case form when {d.INSIDE} then 1 else 0 end >= {d.SHORTEST}")})
         where len(list_filter(g, lambda x: not contains('{marks}', x))) >= {d.LITERAL}),
-    dd_windows as (select r, width, doc_at, w[doc_at + 1:doc_at + width] as g from (
-        select r, w, width, unnest(range(0, len(w) - width + 1)) as doc_at from dd_4, (select distinct width from bb_windows) where len(w) >= width)),
-    hits as (select d.r, b.r as i, item_at, doc_at - item_at as shift, b.width, of_item from dd_windows d join bb_windows b using (width, g)),
-    asked as (select distinct h.r, i, shift, s.slot + shift as slot, s.kind, s.value from hits h join bb_slots s on s.r = h.i
+    bb_plain as ({windows(f"select k, {d.PLAIN} as form, plain as w from bb_4 where form = {d.ALONE} and len(plain) >= 2 and k not in (select k from bb_typed where form = {d.ALONE})")}),
+    bb_windows as (select *, count(distinct item_at) over (partition by k, form) as of_item from (select distinct * from (select * from bb_typed union all select * from bb_plain))),
+    widths as (select distinct form = {d.PLAIN} as as_is, width from bb_windows),
+    dd_windows as (select r, as_is, width, doc_at, w[doc_at + 1:doc_at + width] as g from (
+        select r, as_is, width, w, unnest(range(0, len(w) - width + 1)) as doc_at
+        from (select r, as_is, width, case when as_is then plain else w end as w from dd_4, widths) where len(w) >= width)),
+    hits as (select d.r, b.k, b.form, item_at, doc_at - item_at as shift, b.width, of_item
+        from dd_windows d join bb_windows b on d.width = b.width and d.g = b.g and d.as_is = (b.form = {d.PLAIN})),
+    asked as (select distinct h.r, h.k, h.form, shift, s.slot + shift as slot, s.kind, s.value
+        from hits h join (select distinct k, form, slot, kind, value from bb_slots) s on s.k = h.k and s.form = h.form
         and s.slot between h.item_at and h.item_at + h.width - 1),
-    answers as (select a.r, a.i, shift, a.kind, a.value, count(distinct s.value) as n_values, count(*) as slots,
+    answers as (select a.r, a.k, a.form, shift, a.kind, a.value, count(distinct s.value) as n_values, count(*) as slots,
         count(*) filter (lower(s.value) <> lower(a.value)) as changed
         from asked a join dd_slots s on s.r = a.r and s.slot = a.slot and s.kind = a.kind group by all),
-    offsets as (select r, i, shift, sum(slots) as slots, sum(changed) as changed,
+    offsets as (select r, k, form, shift, sum(slots) as slots, sum(changed) as changed,
         count(*) filter (n_values = 1) >= {d.CONSISTENT} * count(*) as consistent from answers group by all),
-    covered as (select r, i, count(distinct item_at) as n_windows, max(of_item) as item_windows
-        from hits h where not exists (select 1 from offsets o where o.r = h.r and o.i = h.i and o.shift = h.shift and not consistent)
-        group by r, i having count(distinct item_at) >= {d.COVERED} * max(of_item)),
-    held as (select dd_4.k as doc_id, dd_4.t, bb_4.k as item_id, n_windows, item_windows,
-        coalesce((select sum(slots) from offsets o where o.r = c.r and o.i = c.i and consistent), 0)::bigint as n_slots,
-        coalesce((select sum(changed) from offsets o where o.r = c.r and o.i = c.i and consistent), 0)::bigint as n_changed, dd_4.copies
-        from covered c join dd_4 on dd_4.r = c.r join bb_4 on bb_4.r = c.i)"""
+    allowed as (select * from hits h where not exists (
+        select 1 from offsets o where o.r = h.r and o.k = h.k and o.form = h.form and o.shift = h.shift and not consistent)),
+    runs as (select *, item_at - dense_rank() over (partition by r, k, form, shift order by item_at) as run from allowed),
+    lengths as (select r, k, form, max(item_at) - min(item_at) + max(width) as length from runs group by r, k, form, shift, run),
+    covered as (select r, k, form, n_windows, item_windows, n_windows >= {d.COVERED} * item_windows as share
+        from (select r, k, form, count(distinct item_at) as n_windows, max(of_item) as item_windows from allowed group by r, k, form)
+        join (select r, k, form, max(length) as longest from lengths group by r, k, form) using (r, k, form)
+        where n_windows >= {d.COVERED} * item_windows or longest >= {d.RUN}),
+    best as (select *, row_number() over (partition by r, k order by not share, form) as place from covered),
+    held as (select dd_4.k as doc_id, dd_4.t, c.k as item_id, n_windows, item_windows,
+        coalesce((select sum(slots) from offsets o where o.r = c.r and o.k = c.k and o.form = c.form and consistent), 0)::bigint as n_slots,
+        coalesce((select sum(changed) from offsets o where o.r = c.r and o.k = c.k and o.form = c.form and consistent), 0)::bigint as n_changed, dd_4.copies
+        from best c join dd_4 on dd_4.r = c.r where place = 1)"""
 
 
 def decontamination() -> str:

@@ -128,22 +128,28 @@ def _always(value: Column) -> Column:
     return value.isNotNull()
 
 
+def _word(words: str) -> str:
+    """One of the words, with no letter, digit or underscore of any script beside it."""
+    edge = r"[^\p{L}\p{N}_]"
+    return f"(?:^|{edge})(?:{words})(?:$|{edge})"
+
+
 # The kinds in the order of a report. The base patterns find what
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on find, but start only where
 # a run starts or the last match ended, and never give back what a run has taken.
 KINDS: tuple[Kind, ...] = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-         "@[A-Za-z0-9-]", _always, False, r"\b(e-?mail|mail|contact|write)\b"),
+         "@[A-Za-z0-9-]", _always, False, _word("e-?mail|mail|contact|write")),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-         r"[0-9]\.[0-9]", ip_valid, False, r"\b(ip|address|host|server)\b"),
+         r"[0-9]\.[0-9]", ip_valid, False, _word("ip|address|host|server")),
     Kind("card", r"[0-9](?:[ -]?[0-9])++",
-         "[0-9](?:[ -]?[0-9]){12}", card_valid, True, r"\b(card|visa|mastercard|amex|credit|debit)\b"),
+         "[0-9](?:[ -]?[0-9]){12}", card_valid, True, _word("card|visa|mastercard|amex|credit|debit")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]",
-         r"\+[0-9]", phone_valid, False, r"\b(phone|tel|call|mobile|fax)\b"),
+         r"\+[0-9]", phone_valid, False, _word("phone|tel|call|mobile|fax")),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
-         "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", _always, True, r"\b(iban|account|bank|bic)\b", False, iban_at_start),
+         "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", _always, True, _word("iban|account|bank|bic"), False, iban_at_start),
     Kind("ssn", r"(?:(?<![0-9])|\G)[0-9]++-[0-9]++-[0-9]++",
-         "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn_valid, False, r"\b(ssn|social|security)\b", False),
+         "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn_valid, False, _word("ssn|social|security"), False),
 )
 
 

@@ -398,3 +398,15 @@ def test_word_ids_equal_those_of_single_words():
         ids, sizes = word_ids(plain, [w.encode() for w in words])
         assert ids.tolist() == [i for w in want for i in w]
         assert sizes.tolist() == [len(w) for w in want]
+
+
+def test_decontamination_of_very_long_runs(spark):
+    """Runs of names, parts of numbers and an item that would each overflow a matcher that recurses."""
+    names, number = " ".join(["Anna Berg"] * 10_000), ".".join(["12"] * 14_000)
+    item = prose(6_000) + " " + " ".join(["Tom Long"] * 2_000)
+    rows = [(1, f"{prose(30)} {names} end"), (2, f"{prose(30)} {number} km"), (3, f"{prose(50)} {item} {prose(50)}"), (4, prose(40)), (5, names), (6, number)]
+    items = spark.createDataFrame([(0, item), (1, number)], "item_id bigint, text string")
+    frame = docs_of(spark, rows)
+    assert (3, 0) in {(r.doc, r.item) for r in contained_items(frame, items).collect()}
+    kept = {r.doc_id for r in without_contained(frame, items).collect()}
+    assert 3 not in kept and 4 in kept
