@@ -14,6 +14,7 @@ from tablepact.operators import tables as t
 from tablepact.operators.layout import parse_layout
 
 PLAIN = (Column("id", "INTEGER"), Column("name", "TEXT"))
+AT_ONCE = dt.timedelta(0)
 
 
 @pytest.fixture
@@ -36,13 +37,13 @@ def names(spark, db):
 def test_replace(spark, db):
     t.ensure_table(spark, db, "t", PLAIN)
     assert rows(spark, db, "t") == []
-    t.load(spark, db, "t", spark.createDataFrame([(21, "old a"), (22, "old b")], "id int, name string"))
-    assert t.load(spark, db, "t", spark.createDataFrame([("x", 1), ("y", 2)], "name string, id int")) == 2
-    assert rows(spark, db, "t") == [(1, "x"), (2, "y")]
+    t.load(spark, db, "t", spark.range(40, 43).selectExpr("cast(id as int) as id", "hex(id) as name"))
+    assert t.load(spark, db, "t", spark.range(60, 62).selectExpr("concat('n', id) as name", "cast(id as int) as id"), AT_ONCE) == 2
+    assert rows(spark, db, "t") == [(60, "n60"), (61, "n61")]
     assert len(names(spark, db)) == 2  # the table and its one version
     # From itself, and by nothing.
-    assert t.load(spark, db, "t", spark.table(f"{db}.t").where("id = 1")) == 1
-    assert rows(spark, db, "t") == [(1, "x")]
+    assert t.load(spark, db, "t", spark.table(f"{db}.t").where("id = 60")) == 1
+    assert rows(spark, db, "t") == [(60, "n60")]
     assert t.load(spark, db, "t", spark.table(f"{db}.t").where("id = 100")) == 0
     assert t.load(spark, db, "t", spark.createDataFrame([], "id int, name string")) == 0
     assert t.load(spark, db, "t", spark.range(5).where("false").selectExpr("cast(id as int) id", "'a' name")) == 0
@@ -50,17 +51,17 @@ def test_replace(spark, db):
 
 
 @pytest.mark.parametrize("bad,message", [
-    ([(None, "a")], "contains nulls"), ([(1, "too-long")], "value length 8 exceeds"),
-    ([(2, "a"), (2, "b")], "duplicate key"),
+    ([(None, "DE")], "contains nulls"), ([(1, "Deutschland")], "value length 11 exceeds"),
+    ([(2, "DE"), (2, "FR")], "duplicate key"),
 ])
 def test_failed_replace_keeps_the_old_rows(spark, db, bad, message):
-    columns = (Column("id", "INTEGER", False), Column("label", "VARCHAR(1)"))
-    t.ensure_table(spark, db, "t", columns, config={"unique": [["id"]]})
-    t.load(spark, db, "t", spark.createDataFrame([(1, "a"), (5, None)], "id int, label string"))
+    columns = (Column("nation", "INTEGER", False), Column("code", "VARCHAR(3)"))
+    t.ensure_table(spark, db, "t", columns, config={"unique": [["nation"]]})
+    t.load(spark, db, "t", spark.createDataFrame([(1, "ES"), (5, None)], "nation int, code string"))
     before = names(spark, db)
     with pytest.raises(LoadError, match=message):
-        t.load(spark, db, "t", spark.createDataFrame(bad, "id int, label string"))
-    assert rows(spark, db, "t") == [(1, "a"), (5, None)]
+        t.load(spark, db, "t", spark.createDataFrame(bad, "nation int, code string"))
+    assert rows(spark, db, "t") == [(1, "ES"), (5, None)]
     assert names(spark, db) == before
 
 
@@ -84,6 +85,7 @@ def test_failure_while_running_or_publishing(spark, db):
 
 def test_plain_table_is_taken_over_or_recovered(spark, db):
     spark.createDataFrame([(1, "a")], "id int, name string").write.saveAsTable(f"{db}.t")
+    t.declare_rules(spark, db, "t", PLAIN)
     real = spark.sql
     def refuse_view(text, *a, **k):
         if text.startswith("CREATE OR REPLACE VIEW"):
@@ -94,6 +96,7 @@ def test_plain_table_is_taken_over_or_recovered(spark, db):
     assert rows(spark, db, "t") == [(1, "a")] and names(spark, db) == ["t"]
     t.load(spark, db, "t", spark.createDataFrame([(2, "b")], "id int, name string"))
     assert rows(spark, db, "t") == [(2, "b")]
+    assert len(t.vacuum(spark, db, keep_for=AT_ONCE)) == 1  # the table that was moved aside
     assert len(names(spark, db)) == 2
 
 
@@ -268,6 +271,7 @@ def test_a_load_keeps_rules_and_layout_of_a_plain_table(spark, db):
     spark.sql(f"create table {db}.f (id int, v varchar(3), p int) using orc "
               "partitioned by (p) tblproperties ('team' = 'blue')")
     spark.sql(f"insert into {db}.f values (1, 'a', 1)")
+    t.declare_rules(spark, db, "f", [Column("id", "INTEGER", False), Column("v", "VARCHAR(3)"), Column("p", "INTEGER")])
     with pytest.raises(LoadError):
         t.load(spark, db, "f", spark.createDataFrame([(2, "four", 1)], "id int, v string, p int"))
     assert rows(spark, db, "f") == [(1, "a", 1)]
@@ -286,13 +290,103 @@ def test_a_load_keeps_rules_and_layout_of_a_plain_table(spark, db):
 
 def test_a_plain_table_of_another_format_is_refused(spark, db):
     spark.sql(f"create table {db}.c (id int) using csv")
-    with pytest.raises(LoadError, match="cannot keep the layout"):
+    with pytest.raises(ValueError, match="format"):
+        t.declare_rules(spark, db, "c", [Column("id", "INTEGER")])
+    with pytest.raises(LoadError, match="made elsewhere"):
         t.load(spark, db, "c", spark.createDataFrame([(1,)], "id int"))
     assert rows(spark, db, "c") == []
 
 
 def test_bucketed_plain_table_stays_bucketed(spark, db):
     spark.sql(f"create table {db}.b (id int, s string) using parquet clustered by (id) sorted by (s) into 4 buckets")
+    t.declare_rules(spark, db, "b", [Column("id", "INTEGER"), Column("s", "TEXT")])
     t.load(spark, db, "b", spark.createDataFrame([(1, "x"), (2, "y")], "id int, s string"))
     layout = t.describe(spark, db, "b").layout
     assert (layout.bucket.column, layout.bucket.width, layout.sorted_by[0].column) == ("id", 4, "s")
+
+
+def test_a_reader_outlives_loads_until_its_version_is_vacuumed(spark, db):
+    t.ensure_table(spark, db, "t", PLAIN)
+    t.load(spark, db, "t", spark.createDataFrame([(1, "a")], "id int, name string"))
+    held = spark.table(f"{db}.t")
+    for k in (2, 3):
+        t.load(spark, db, "t", spark.createDataFrame([(k, "b")], "id int, name string"))
+    assert [tuple(r) for r in held.collect()] == [(1, "a")] and rows(spark, db, "t") == [(3, "b")]
+    told = t.history(spark, db, "t").collect()
+    assert [r.is_current for r in told] == [True, False, False, False] and told[0].replaced_at is None
+    assert all(a.current_since == b.replaced_at for a, b in zip(told, told[1:]))
+    assert [tuple(r) for r in t.read_version(spark, db, "t", told[1].version).collect()] == [(2, "b")]
+    with pytest.raises(LoadError, match="no version"):
+        t.read_version(spark, db, "t", "other")
+    assert t.vacuum(spark, db) == []
+    assert t.vacuum(spark, db, "t", AT_ONCE) == sorted(r.version for r in told[1:])
+    assert t.history(spark, db, "t").count() == 1 and rows(spark, db, "t") == [(3, "b")]
+
+
+def test_vacuum_drops_what_dead_writers_left_and_nothing_else(spark, db):
+    t.ensure_table(spark, db, "t", PLAIN)
+    now = t._now()
+    left = {"dead": f"t__v_{now - 10 * 86_400_000:013d}_{'a' * 16}", "running": f"t__v_{now:013d}_{'b' * 16}", "gone": f"u__v_{now - 10 * 86_400_000:013d}_{'c' * 16}",
+            "mine": "t__v_2024", "also": f"t__old_{1:013d}_{'d' * 16}"}
+    for name in left.values():
+        spark.range(1).write.saveAsTable(f"{db}.{name}")
+    assert t.vacuum(spark, db, "u") == [left["gone"]]
+    assert t.vacuum(spark, db) == [left["dead"]]
+    assert {left["running"], left["mine"], left["also"], "t"} <= set(names(spark, db))
+
+
+def test_a_crash_between_the_two_steps_of_a_move(spark, db):
+    columns = (Column("id", "INTEGER", False), Column("name", "TEXT"))
+
+    def made(name):
+        spark.createDataFrame([(1, "a")], "id int, name string").write.saveAsTable(f"{db}.{name}")
+        t.declare_rules(spark, db, name, columns)
+        version = t._new_version(name)
+        spark.createDataFrame([(2, "b")], "id int, name string").write.saveAsTable(f"{db}.{version}")
+        kept = t._in_pieces(t.KEPT_KEY, {"version": version, "columns": [c.as_dict() for c in columns], "config": None, "log": [[version, 5]]})
+        return version, f"create or replace view {db}.{name} tblproperties ({t._property_list(kept)}) as select id, name from {db}.{version}"
+
+    version, statement = made("whole")
+    t.announce_move(spark, db, "whole", version, statement)
+    assert not spark.catalog.tableExists(f"{db}.whole")
+    assert t.recover(spark, db, "whole") == "completed" and rows(spark, db, "whole") == [(2, "b")]
+    assert t.describe(spark, db, "whole").columns == columns and t.recover(spark, db, "whole") == ""
+
+    version, statement = made("lost")
+    t.announce_move(spark, db, "lost", version, statement)
+    spark.sql(f"drop table {db}.{version}")
+    with pytest.raises(LoadError, match="contains nulls"):  # the load settles the move before it starts
+        t.load(spark, db, "lost", spark.createDataFrame([(None, "x")], "id int, name string"))
+    assert rows(spark, db, "lost") == [(1, "a")] and t.describe(spark, db, "lost").columns == columns
+
+    version, statement = made("early")
+    plan = t._in_pieces(t.MOVE_KEY, {"version": version, "statement": statement})
+    spark.sql(f"alter table {db}.early set tblproperties ({t._property_list(plan)})")
+    assert t.recover(spark, db, "early") == "undone" and rows(spark, db, "early") == [(1, "a")]
+    assert t.load(spark, db, "early", spark.createDataFrame([(3, "c")], "id int, name string")) == 1
+
+
+def test_rules_of_tables_made_elsewhere(spark, db):
+    spark.sql(f"create table {db}.p (id int not null, v varchar(2)) using parquet")
+    nulls = spark.createDataFrame([(None, "a")], "id int, v string")
+    with pytest.raises(LoadError, match="made elsewhere"):
+        t.load(spark, db, "p", nulls)
+    with pytest.raises(LoadError, match="made elsewhere"):
+        t.clone_empty_from_prod(spark, db, db, "p")
+    rules = [Column("id", "INTEGER", False), Column("v", "VARCHAR(2)")]
+    for wrong in ([rules[0]], [Column("id", "BIGINT"), rules[1]], rules[::-1]):
+        with pytest.raises(LoadError, match="other columns"):
+            t.declare_rules(spark, db, "p", wrong)
+    t.declare_rules(spark, db, "p", rules)
+    with pytest.raises(LoadError, match="contains nulls"):
+        t.load(spark, db, "p", nulls)
+    t.ensure_schema(spark, db + "_c")
+    t.clone_empty_from_prod(spark, db + "_c", db, "p")
+    with pytest.raises(LoadError, match="contains nulls"):
+        t.load(spark, db + "_c", "p", nulls)
+    t.drop_schema(spark, db + "_c")
+    assert t.load(spark, db, "p", spark.createDataFrame([(1, "a")], "id int, v string")) == 1
+    with pytest.raises(LoadError, match="created with"):
+        t.declare_rules(spark, db, "p", rules)
+    with pytest.raises(LoadError, match="contains nulls"):
+        t.load(spark, db, "p", nulls)
