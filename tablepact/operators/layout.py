@@ -63,6 +63,21 @@ class Partition:
             return bucket_id(column, self.width)
         return column
 
+    def can_hold(self, operator: str, value: Expr) -> Expr:
+        """Whether a partition can hold rows whose column is ``=``, ``<=`` or ``>=`` a value, or ``in`` an array.
+
+        Derived values never fall while the column rises, but for buckets, which know
+        only ``=`` and ``in``. An empty text is stored as null.
+        """
+        column = F.col(_quoted(self.name))
+        if operator == "in":
+            found, empty = F.array_contains(F.transform(value, self.value), column), F.array_contains(value, F.lit(""))
+        else:
+            own = self.value(value)
+            found = column == own if operator == "=" else column <= own if operator == "<=" else column >= own
+            empty = F.lit(True) if operator == "<=" else own == ""
+        return found | (column.isNull() & empty) if self.sql_type.is_text and self.transform != "bucket" else found
+
 
 @dataclass(frozen=True)
 class SortKey:
@@ -201,9 +216,7 @@ def slice_filter(layout: Layout, column: str, lower: Expr, upper: Expr) -> Expr:
     kept = F.col(_quoted(column)).between(lower, upper)
     for partition in layout.partitions:
         if partition.column == column and partition.derived and partition.transform != "bucket":
-            kept = kept & F.col(_quoted(partition.name)).between(
-                partition.value(lower), partition.value(upper)
-            )
+            kept = kept & partition.can_hold(">=", lower) & partition.can_hold("<=", upper)
     return kept
 
 

@@ -27,31 +27,53 @@ _CALLS_JAVA = {"CallMethodViaReflection", "TryReflect"}
 BIND_REPORT_SCHEMA = "read string, ok boolean, message string"
 
 
-def read_text(sql: str) -> str:
-    """The query without trailing terminators."""
+def read_text(spark: SparkSession, sql: str) -> str:
+    """The query without terminators and without comments that follow one."""
     query = re.sub(r"[\s;]+\Z", "", sql) if isinstance(sql, str) else ""
+    at = query.find(";")
+    while at >= 0:
+        # A semicolon within a text has no query before it.
+        if _parses(spark, _as_subquery(query[:at])) and _says_nothing(spark, query[at:].replace(";", " ")):
+            query = query[:at]
+        at = query.find(";", at + 1)
     if not query.strip():
         raise ValueError("a read must be exactly one read query, and this one is empty")
     return query.strip()
 
 
+def _says_nothing(spark: SparkSession, text: str) -> bool:
+    """Whether there are only blanks and comments: two commands that nothing else may precede still parse after it."""
+    return all(_parses(spark, f"{text}\n{command}") for command in ("explain select 1", "use a"))
+
+
+def _parses(spark: SparkSession, text: str) -> bool:
+    try:
+        _parsed(spark, text)
+    except ParseException:
+        return False
+    return True
+
+
+def _parsed(spark: SparkSession, text: str) -> None:
+    """Parse only: no names are looked up."""
+    spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+
+
 def ensure_single_read(spark: SparkSession, sql: str) -> str:
     """Raise ValueError unless the text is exactly one query; return its text.
 
     Spark's own parser decides. The text is placed where only a query may stand,
     in two ways that cannot both be escaped by closing the parenthesis early.
     """
-    query = read_text(sql)
+    query = read_text(spark, sql)
     for wrapped in (_as_cte(query), _as_subquery(query)):
         try:
-            spark.sql(wrapped)
+            _parsed(spark, wrapped)
         except ParseException as exc:
             raise ValueError(
                 f"only a single read query is accepted, exactly one statement: "
                 f"{_excerpt(sql)} [{_excerpt(exc.getMessage() or str(exc))}]"
             ) from exc
-        except AnalysisException:
-            pass  # The shape is right; whether it binds is another question.
     return query
 
 
@@ -77,9 +99,7 @@ def fetch(spark: SparkSession, sql: str) -> DataFrame:
 
     Scans of partitioned tables read only the partitions that the query's conditions leave.
     """
-    query = ensure_single_read(spark, sql)
-    _bound(spark, query)
-    result = spark.sql(query)
+    result = _bound(spark, ensure_single_read(spark, sql))
     repeated = sorted(n for n, times in Counter(result.columns).items() if times > 1)
     if repeated:
         raise ValueError(f"duplicate column name(s) in SELECT result: {repeated}")
@@ -119,16 +139,18 @@ def _as_cte(query: str) -> str:
     return f"WITH pact_read AS (\n{query}\n) SELECT 1"
 
 
-def _bound(spark: SparkSession, query: str) -> None:
+def _bound(spark: SparkSession, query: str) -> DataFrame:
+    """The query's frame, analyzed once; its plan may not leave the engine."""
     try:
-        plan = spark.sql(_as_subquery(query))._jdf.queryExecution().analyzed().toJSON()
+        frame = spark.sql(query)
     except AnalysisException as exc:
         raise ReadError(f"read does not bind: {exc}") from exc
-    used = set(_CLASS.findall(plan))
+    used = set(_CLASS.findall(frame._jdf.queryExecution().analyzed().toJSON()))
     if used & _RUNS_A_COMMAND:
         raise ReadError(f"a read may not run a command: {_excerpt(query)}")
     if used & _CALLS_JAVA:
         raise ReadError(f"a read may not call Java methods: {_excerpt(query)}")
+    return frame
 
 
 def _excerpt(text: str) -> str:

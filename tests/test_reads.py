@@ -1,12 +1,17 @@
 """The single-read gate, the bind check, and the read context."""
 
+import re
+from unittest import mock
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
+from tablepact.contract import Column
 from tablepact.errors import ReadError, ScriptError
+from tablepact.operators import tables as t
 from tablepact.sources.ingest import to_dataframe
 from tablepact.sources.reads import ReadContext, bind_report, check_binds, ensure_single_read, fetch
 
@@ -17,6 +22,8 @@ ACCEPTED = [
     "VALUES (1), (2)", "select a as x, b as x from up", "select a from up;", "select a from up -- trailing comment",
     "(select a from up)", "select a from up ; ; ", "select a from up except select a from up2",
     "select a, sum(a) over (partition by b) from up", "select a from up left join up2 using (a)",
+    "select a from up; -- one comment", "select a from up ; /* two */ ; -- three\n", "-- first\nselect ';' as s from up; -- last",
+    "select a from up -- x; y", "select a from up where b = '; -- no comment'",
 ]
 REFUSED = [
     "select 1) AS x; DELETE FROM target; SELECT * FROM (SELECT 1",
@@ -26,7 +33,7 @@ REFUSED = [
     "drop table up", "create table x (a int)", "truncate table up", "select a from (", "   ", "", ";",
     "select a from up /* open", "up", "show tables", "clear cache", "from up insert into x select a insert into y select a",
     "select 'open", "set spark.x=1", "describe up", "explain select 1", "use db",
-    "cache table up", "select a from up where b = 'x'; -- more\nselect 1",
+    "select a from up; select 1 -- two", "-- nothing\n", "; -- nothing", "select a from up; -- one\n; select 2", "cache table up", "select a from up where b = 'x'; -- more\nselect 1",
 ]
 
 
@@ -136,3 +143,86 @@ def test_calls_of_java_are_found_in_the_plan(spark):
         with pytest.raises(ReadError):
             check_binds(spark, query)
     check_binds(spark, "select 'reflect(' as t, '\"class\":\"a.TryReflect\"' as u")
+
+
+def test_a_read_is_analyzed_once(spark):
+    real, texts = spark.sql, []
+
+    def counted(text, *args, **kwargs):
+        texts.append(text)
+        return real(text, *args, **kwargs)
+
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    with mock.patch.object(spark, "sql", counted):
+        fetch(spark, "select a from up; -- as written")
+        check_binds(spark, "select b from up")
+    assert texts == ["select a from up", "select b from up"]
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+EVENTS = (Column("id", "BIGINT", False), Column("ts", "TIMESTAMP"), Column("kind", "VARCHAR(10)"), Column("n", "INTEGER"))
+AT = "timestamp'2024-01-0{} 05:00:00'"
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    db = "pruned_db"
+    t.drop_schema(spark, db)
+    t.ensure_table(spark, db, "e", EVENTS, config={"partitioning": [
+        "day(ts)", "month(ts)", "hour(ts)", "kind", "truncate(id, 100)", "truncate(kind, 2)", "bucket(n, 3)", "bucket(id, 2)"], "sorted_by": ["id desc"]})
+    t.load(spark, db, "e", spark.range(400).selectExpr(
+        "id", "if(id % 50 = 0, null, timestampadd(HOUR, cast(id % 9 * 13 as int), timestamp_ntz'2023-12-30 00:00:00')) as ts",
+        "if(id % 7 = 0, '', concat('k', id % 12)) as kind", "cast(nullif(id % 9, 4) as int) as n"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    yield f"{db}.e"
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    t.drop_schema(spark, db)
+
+
+def partition_filters(frame):
+    return re.findall(r"PartitionFilters: \[(.*?)\], Pushed", frame._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("where,columns", [
+    (f"ts < {AT.format(2)}", {"day_ts", "month_ts", "hour_ts"}), (f"{AT.format(2)} <= ts", {"day_ts", "month_ts", "hour_ts"}),
+    (f"ts = {AT.format(1)}", {"day_ts", "hour_ts"}), (f"ts between {AT.format(1)} and {AT.format(3)}", {"day_ts"}),
+    (f"ts in ({AT.format(1)}, {AT.format(2)})", {"day_ts", "month_ts"}), ("cast(ts as date) = date'2024-01-02'", {"day_ts", "month_ts"}),
+    ("cast(ts as date) > date'2024-01-02' and id < 150", {"day_ts", "truncate_100_id"}),
+    ("id in (3, 5, 7, 250, 251, 252, 253, 254, 255, 256, 257, 258, 259)", {"truncate_100_id", "bucket_2_id"}),
+    ("id = 250", {"truncate_100_id", "bucket_2_id"}), ("kind = ''", {"identity_kind", "truncate_2_kind"}), ("kind >= 'k5'", {"identity_kind", "truncate_2_kind"}),
+    ("kind in ('k1', 'k10', '\\'')", {"identity_kind"}), ("n = 5", {"bucket_3_n"}), ("n > 5", set()), ("ts < null", set()), ("ts is null", set()),
+    ("id < 10 or ts is null", set()), ("id + 1 < 10", set()), ("n <=> 3", {"bucket_3_n"}), ("ts <> timestamp'2024-01-01 00:00:00'", set()), ("id < 7.5", {"truncate_100_id"}),
+])
+def test_plain_reads_of_partitioned_tables_prune(spark, events, where, columns):
+    query = f"select id, ts, kind, n from {events} where {where}"
+    frame = fetch(spark, query)
+    assert sorted(map(str, frame.collect())) == sorted(map(str, spark.sql(query).collect()))
+    told = "".join(partition_filters(frame))
+    assert all(f"pact_{c}#" in told for c in columns) and ("pact_" in told) == bool(columns)
+
+
+def test_bounds_reach_the_scans_they_belong_to(spark, events):
+    late, early = f"ts >= {AT.format(3)}", f"ts < {AT.format(1)}"
+    for query, pruned in [
+        (f"with x as (select * from {events}) select id from x where {late}", 1),
+        (f"with x as (select * from {events}) select a.id from x a join x b on a.id = b.id where a.{late}", 0),
+        (f"select a.id from {events} a join {events} b on a.id = b.id where a.{late} and b.id < 300", 2),
+        (f"select id from {events} where {late} union all select id from {events} where {early}", 2),
+        (f"select o.a, e.id from up2 o left join {events} e on o.a = e.id and e.{late}", 1),
+        (f"select id from {events} where id in (select id from {events} where {late})", 0),
+        (f"select kind, count(*) as n from (select ts as z, kind from {events}) where z >= {AT.format(3)} group by kind having count(*) > 1", 1),
+    ]:
+        frame = fetch(spark, query)
+        assert sum("pact_" in f for f in partition_filters(frame)) == pruned, query
+        assert sorted(map(str, frame.collect())) == sorted(map(str, spark.sql(query).collect()))
+
+
+def test_pruned_reads_follow_the_table(spark, events):
+    db, name = events.split(".")
+    query = f"select id from {events} where ts < {AT.format(2)} and id < 120"
+    held = fetch(spark, query)
+    before = sorted(map(tuple, held.collect()))
+    t.load(spark, db, name, spark.table(events).where("id >= 100"))
+    assert sorted(map(tuple, held.collect())) == before
+    assert sorted(map(tuple, fetch(spark, query).collect())) == [r for r in before if r[0] >= 100]
