@@ -10,9 +10,6 @@ from tablepact.operators.unique import unique_violations
 from tablepact.sources.reads import ReadContext
 from tablepact.suite.registry import columns, query
 
-_ORDERS = "select o_orderkey, o_custkey, cast(o_totalprice as decimal(10,2)) as amount from orders"
-_BUILDERS = "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'"
-
 _DIRTY = """
 select c_custkey, nullif(c_name, concat('Customer#', lpad(cast(c_custkey - c_custkey % 10 as {text}), 9, '0'))) as c_name,
        c_mktsegment,
@@ -34,22 +31,20 @@ _BREAKS = {
 
 
 @query("""
-select cast(o_orderkey as integer) as order_id, c_name as customer_name,
-       cast(o_totalprice as decimal(10,2)) as amount
-from orders left join (select c_custkey, c_name from customer where c_mktsegment = 'BUILDING')
-  on o_custkey = c_custkey
+select n_name as nation, cast(sum(s_acctbal) as decimal(22,2)) as balance, count(s_suppkey) as suppliers
+from nation left join (select s_suppkey, s_nationkey, cast(s_acctbal as decimal(12,2)) as s_acctbal from supplier where s_acctbal < 0) on s_nationkey = n_nationkey
+group by n_name
 """)
 def model_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reads, a left join in user code, and the declared columns."""
-    ctx = ReadContext(spark, {"orders": _ORDERS, "customers": _BUILDERS})
-    orders, customers = ctx.read("orders"), ctx.read("customers")
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
-    produced = joined.select("o_orderkey", "c_name", "amount").toDF(
-        "order_id", "customer_name", "amount"
-    )
-    return conform(produced, columns(
-        "order_id INTEGER not null", "customer_name VARCHAR(64)", "amount NUMERIC(10,2) not null"
-    ))
+    """Every nation with what its indebted suppliers owe: two reads, joined and summed in user code, as declared."""
+    ctx = ReadContext(spark, {
+        "nation": "select n_nationkey, n_name from nation",
+        "owing": "select s_suppkey, s_nationkey, cast(s_acctbal as decimal(12,2)) as owed from supplier where s_acctbal < 0",
+    })
+    every, owing = ctx.read("nation"), ctx.read("owing")
+    found = every.join(owing, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("nation")).agg(
+        F.count("s_suppkey").alias("suppliers"), F.sum("owed").alias("balance"))
+    return conform(found, columns("nation VARCHAR(25) not null", "balance NUMERIC(22,2)", "suppliers BIGINT not null"))
 
 
 @query("""

@@ -15,36 +15,37 @@ from tablepact.suite.csvs import write_csv
 from tablepact.suite.registry import fresh_schema, query
 
 
+_SHIPPED = """
+select date_trunc('month', l_shipdate)::date as month, l_returnflag as flag, count(*) as n_lines,
+       cast(sum(cast(l_quantity as decimal(12,2))) as decimal(22,2)) as quantity, max(l_discount) as best_discount
+from lineitem group by 1, 2
+"""
+
+
 def _contract(schema: str, **change) -> dict:
     return {
         "schema": schema,
-        "table": "example",
-        "reads": {
-            "orders": "select o_orderkey, o_custkey, cast(o_totalprice as decimal(12,2)) as amount from orders",
-            "customers": "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'",
-        },
+        "table": "shipped",
+        "reads": {"lines": "select l_shipdate, l_returnflag, l_quantity, l_discount from lineitem where l_quantity > 0"},
         "output_columns": [
-            {"name": "order_id", "type": "INTEGER", "nullable": False},
-            {"name": "customer_name", "type": "VARCHAR(64)"},
-            {"name": "amount", "type": "NUMERIC(10,2)", "nullable": False},
+            {"name": "month", "type": "DATE", "nullable": False},
+            {"name": "flag", "type": "CHAR(1)", "nullable": False},
+            {"name": "n_lines", "type": "BIGINT", "nullable": False},
+            {"name": "quantity", "type": "NUMERIC(22,2)"},
+            {"name": "best_discount", "type": "DOUBLE PRECISION"},
         ],
-        "config": {"unique": [["order_id"]], "sorted_by": ["order_id"]},
+        "config": {"unique": [["month", "flag"]], "partitioning": ["year(month)"], "sorted_by": ["month"]},
         **change,
     }
 
 
 def _script(ctx: ReadContext) -> DataFrame:
-    orders, customers = ctx.read("orders"), ctx.read("customers")
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
-    return joined.select("o_orderkey", "c_name", "amount").toDF("order_id", "customer_name", "amount")
+    month = F.trunc("l_shipdate", "month").alias("month")
+    return ctx.read("lines").groupBy(month, F.col("l_returnflag").alias("flag")).agg(
+        F.max("l_discount").alias("best_discount"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("quantity"), F.count("*").alias("n_lines"))
 
 
-@query("""
-select cast(o_orderkey as integer) as order_id, c_name as customer_name,
-       cast(o_totalprice as decimal(10,2)) as amount
-from orders left join (select c_custkey, c_name from customer where c_mktsegment = 'BUILDING')
-  on o_custkey = c_custkey
-""")
+@query(_SHIPPED)
 def run_contract_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The release check, the run, and the replaced table."""
     db = fresh_schema(spark, "end_to_end")
@@ -53,7 +54,7 @@ def run_contract_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_contract(spark, contract, _script)
     if (gate["status"], run["status"]) != ("success", "success"):
         raise RuntimeError(f"{gate} {run}")
-    return spark.table(f"{db}.example")
+    return spark.table(f"{db}.shipped")
 
 
 @query("""
@@ -78,15 +79,15 @@ def run_csv_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{db}.drop")
 
 
-@query("""
-select 1 as schema_version, 'success' as status, 'rows=' || cast(count(*) as varchar) as message,
-       0 as failures, 'pact_run_log.example' as unique_id, count(*) as rows_after from orders
+@query(f"""
+with months as (select count(*) as n from ({_SHIPPED}))
+select 1 as schema_version, 'success' as status, 'rows=' || cast(n as varchar) as message,
+       0 as failures, 'pact_run_log.shipped' as unique_id, n as rows_after from months
 union all
-select 1, 'error', 'ConformError: column order_id is declared nullable: false but contains nulls',
-       1, 'pact_run_log.example', count(*) from orders
+select 1, 'error', 'ConformError: column flag is declared nullable: false but contains nulls', 1, 'pact_run_log.shipped', n from months
 union all
-select 1, 'error', 'ConformError: declared names not given: [''amount''] (declared are [''order_id'', ''customer_name'', ''amount''])',
-       1, 'pact_run_log.example', count(*) from orders
+select 1, 'error', 'ConformError: declared names not given: [''quantity''] (declared are [''month'', ''flag'', ''n_lines'', ''quantity'', ''best_discount''])',
+       1, 'pact_run_log.shipped', n from months
 """)
 def run_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per run, good or bad; failed runs leave the table as it was."""
@@ -94,11 +95,11 @@ def run_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = f"{db}.runs_{uuid.uuid4().hex}"
     for script in (
         _script,
-        lambda ctx: _script(ctx).withColumn("order_id", F.expr("nullif(order_id, 5)")),
-        lambda ctx: _script(ctx).drop("amount"),
+        lambda ctx: _script(ctx).withColumn("flag", F.expr("nullif(flag, 'A')")),
+        lambda ctx: _script(ctx).drop("quantity"),
     ):
         run_contract(spark, _contract(db), script, run_log=log)
-    return spark.sql(f"select *, (select count(*) from {db}.example) as rows_after from {log}")
+    return spark.sql(f"select *, (select count(*) from {db}.shipped) as rows_after from {log}")
 
 
 @query("""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tablepact.errors import LoadError
 from tablepact.operators import tables as t
+from tablepact.operators.layout import parse_layout, write_table
+from tablepact.sources.reads import ReadContext
 from tablepact.suite.registry import columns, fresh_schema, query
 
 _ORDERS = columns(
@@ -185,3 +187,91 @@ def layout_many_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{db}.events").groupBy(
         "event_type", F.month("ts").cast("bigint").alias("month")
     ).agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_id"))
+
+
+@query("""
+select event_id, user_id, value, true as pruned from events
+where ts >= timestamp '2024-01-10 06:00:00' and ts < timestamp '2024-01-12 00:00:00' and event_type in ('click', 'view')
+""")
+def read_prunes_derived_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared read whose conditions on the columns become bounds on days and types."""
+    db = _laid_out(spark, "read_prunes", {"partitioning": ["day(ts)", "event_type"]})
+    found = ReadContext(spark, {"some": f"""
+        select event_id, user_id, value from {db}.events where ts >= timestamp'2024-01-10 06:00:00'
+        and ts < timestamp'2024-01-12 00:00:00' and event_type in ('click', 'view') -- two days, two types
+    """}).read("some")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    bounds = [line for line in plan.splitlines() if "Filter" in line and "pact_day_ts" in line and "pact_identity_event_type" in line]
+    return found.withColumn("pruned", F.lit(len(bounds) == 1))
+
+
+@query("""
+select 'held' as rows_of, o_orderkey, o_totalprice, 2 as n_versions, 1 as n_left from orders where o_orderkey % 2 = 0
+union all
+select 'current', o_orderkey, o_totalprice, 2, 1 from orders where o_orderkey % 2 = 1
+""")
+def reader_outlives_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader planned before a load reads on; vacuum then leaves the current version alone."""
+    db = fresh_schema(spark, "reader_outlives")
+    t.ensure_table(spark, db, "orders", _ORDERS)
+    at_once = dt.timedelta(0)
+    t.load(spark, db, "orders", spark.sql(_HALF.format(odd=0)), at_once)
+    held = spark.table(f"{db}.orders")
+    t.load(spark, db, "orders", spark.sql(_HALF.format(odd=1)))
+    versions = t.history(spark, db, "orders").count()
+    # What the reader sees after the load is kept in a table of its own.
+    held.select("o_orderkey", "o_totalprice").write.saveAsTable(f"{db}.held")
+    t.vacuum(spark, db, "orders", at_once)
+    left = t.history(spark, db, "orders").count()
+    both = spark.table(f"{db}.held").withColumn("rows_of", F.lit("held")).unionByName(
+        spark.table(f"{db}.orders").select("o_orderkey", "o_totalprice", F.lit("current").alias("rows_of")))
+    return both.withColumns({"n_versions": F.lit(versions), "n_left": F.lit(left)})
+
+
+def _made_elsewhere(spark: SparkSession, db: str, table: str, odd: int) -> None:
+    spark.sql(f"create table {db}.{table} (o_orderkey bigint not null, o_orderstatus varchar(1), o_totalprice double) using parquet")
+    spark.sql(f"insert into {db}.{table} {_HALF.format(odd=odd)}")
+
+
+_PLAIN_ORDERS = columns("o_orderkey BIGINT not null", "o_orderstatus VARCHAR(1)", "o_totalprice DOUBLE PRECISION")
+
+
+@query("""
+select 'completed' as outcome, o_orderkey, o_totalprice from orders where o_orderkey % 2 = 1
+union all
+select 'undone', o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0
+""")
+def interrupted_move_is_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writers that stop between the two steps of a first load; the next call settles each move."""
+    db, parts = fresh_schema(spark, "interrupted_move"), []
+    for table, lost in (("whole", False), ("lost", True)):
+        _made_elsewhere(spark, db, table, 0)
+        t.declare_rules(spark, db, table, _PLAIN_ORDERS)
+        version = t._new_version(table)
+        write_table(spark.sql(_HALF.format(odd=1)), f"{db}.{version}", parse_layout(None, _PLAIN_ORDERS))
+        statement = f"create or replace view {db}.{table} as select * from {db}.{version}"
+        t.announce_move(spark, db, table, version, statement)
+        if lost:
+            spark.sql(f"drop table {db}.{version}")
+        outcome = t.recover(spark, db, table)
+        parts.append(spark.table(f"{db}.{table}").select(F.lit(outcome).alias("outcome"), "o_orderkey", "o_totalprice"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("""
+select o_orderkey, o_orderstatus, o_totalprice, 4 as refused from orders where o_orderkey % 2 = 1
+""")
+def rules_of_a_table_made_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT NULL of a plain table: loads and clones are refused until it is stated, and so is a null afterwards."""
+    db = fresh_schema(spark, "stated_rules")
+    _made_elsewhere(spark, db, "orders", 0)
+    with_null = "select nullif(o_orderkey, 5) as o_orderkey, o_orderstatus, o_totalprice from orders"
+    refused = _refused(spark, db, "orders", with_null) + _refused(spark, db, "orders", _HALF.format(odd=1))
+    try:
+        t.clone_empty_from_prod(spark, db, db, "orders")
+    except LoadError:
+        refused += 1
+    t.declare_rules(spark, db, "orders", _PLAIN_ORDERS)
+    refused += _refused(spark, db, "orders", with_null)
+    t.load(spark, db, "orders", spark.sql(_HALF.format(odd=1)))
+    return spark.table(f"{db}.orders").withColumn("refused", F.lit(refused))
