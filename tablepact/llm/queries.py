@@ -19,7 +19,7 @@ from tablepact.llm.pii import KINDS, spans_text, with_spans
 from tablepact.llm.quality import base_failed, judged_by_rules
 from tablepact.llm.quotes import conversations_in_reply_order
 from tablepact.llm.reputation import Rule, judged_urls
-from tablepact.llm.sharding import placed
+from tablepact.llm.sharding import placed, read_shards, write_shards
 from tablepact.llm.spelling import variant_groups, vocabulary
 from tablepact.llm.tokenfiles import read_token_files, write_token_files
 from tablepact.llm.tokens import bpe_digests, encoded_by_words, tokenizer
@@ -96,8 +96,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return placed(docs, "doc_id", [f"shard-{i:03d}" for i in range(256)])
+    docs = table(spark, sf_dir, "documents")
+    path = f"{scratch_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    dealt = placed(docs, "doc_id", [f"shard-{i:03d}" for i in range(256)])
+    write_shards(dealt, path)
+    return read_shards(spark, path, dealt.schema).select("doc_id", "slot", "shard", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 PAGE_NUMBER = "://[^/?#]*/[^/?#]*/([0-9]{1,18})([^0-9]|$)"

@@ -5,7 +5,8 @@ a step, both hashed from its name. The shards take turns; each claims its next s
 that is still free, until all are taken. So every shard holds as many slots as any
 other, give or take one, and when a shard comes or goes few other slots change hands. A
 row's slot is the hash of its key modulo the table's size; the table has a fixed,
-stated number of rows, is broadcast, and placement takes one look and no shuffle.
+stated number of rows, is broadcast, and placement takes one look and no shuffle. Writing
+the shards moves each row once, to a task of its shard.
 
 Edge cases: rows with equal keys, null among them, go to one shard; an empty table
 stays empty; all columns of the input are kept, and the added ones get free names.
@@ -18,8 +19,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepact.llm.common import free_name
 
@@ -63,5 +65,10 @@ def placed(frame: DataFrame, key: str, shards: Sequence[str], *, size: int = TAB
 
 
 def write_shards(frame: DataFrame, path: str, shard: str = "shard") -> None:
-    """One folder per shard; large shards are written by several tasks."""
+    """The rows as they are, one folder per shard; large shards are written by several tasks."""
     frame.hint("rebalance", F.col(shard)).write.partitionBy(shard).parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all shards; ``schema`` is that of the frame that was written."""
+    return spark.read.schema(schema).parquet(path)

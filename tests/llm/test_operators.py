@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
@@ -23,7 +25,7 @@ from tablepact.llm.passages import chains_of, edit_distance, repeated_passages
 from tablepact.llm.pii import redacted, spans_text, with_spans  # noqa: E402
 from tablepact.llm.quality import Limits, base_failed, binomial_tail, judged_by_rules  # noqa: E402
 from tablepact.llm.quotes import conversations_in_reply_order, parted  # noqa: E402
-from tablepact.llm.sharding import lookup_table, placed  # noqa: E402
+from tablepact.llm.sharding import lookup_table, placed, read_shards, write_shards  # noqa: E402
 from tablepact.llm.shingles import bands_for  # noqa: E402
 from tablepact.llm.tokenfiles import read_token_files, write_token_files  # noqa: E402
 from tablepact.llm.tokens import encoded_by_words, loaded, parts_at_blanks, tokenizer, word_ids  # noqa: E402
@@ -336,14 +338,42 @@ def test_scores(spark):
     assert weights[3].sum() == pytest.approx(1) and weights[3, 0] > 0.5
 
 
-def test_sharding(spark):
+def plain_lookup(names, size):
+    """Slot by slot: every shard in turn takes the first free slot of its own order."""
+    orders = [[(xxhash.xxh64_intdigest(n, seed=1) + k * (xxhash.xxh64_intdigest(n, seed=2) % (size - 1) + 1)) % size for k in range(size)] for n in names]
+    owner = {}
+    while len(owner) < size:
+        for name, order in zip(names, orders):
+            free = next((s for s in order if s not in owner), None)
+            if free is not None:
+                owner[free] = name
+    return owner
+
+
+def test_sharding(spark, tmp_path):
     names = [f"s{i}" for i in range(10)]
-    owner = lookup_table(names, 1009)
-    assert np.ptp(np.bincount(owner)) <= 1
+    owner = lookup_table(names, 211)
+    assert {slot: names[i] for slot, i in enumerate(owner)} == plain_lookup(names, 211)
+    assert np.ptp(np.bincount(lookup_table(names, 1009))) <= 1
     fewer = lookup_table(names[:-1], 1009)
-    assert (owner != fewer).mean() < 0.25  # a tenth has to move
-    rows = placed(docs_of(spark, AWKWARD), "doc_id", names, size=1009).collect()
-    assert len(rows) == len(AWKWARD) and all(names[owner[r.slot_]] == r.shard for r in rows)
+    assert (lookup_table(names, 1009) != fewer).mean() < 0.25  # a tenth has to move
+    rows = AWKWARD + [(i * i - 50, prose(20)) for i in range(200)]
+    frame = docs_of(spark, rows)
+    dealt = placed(frame, "doc_id", names, size=211)
+    write_shards(dealt, str(tmp_path / "shards"))
+    back = read_shards(spark, str(tmp_path / "shards"), dealt.schema)
+    assert back.columns == [*frame.columns, "slot_", "shard"]
+    plain = plain_lookup(names, 211)
+
+    def slot(i):
+        value = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)  # a null leaves the seed as it is
+        return (value - (value >= 2**63) * 2**64) % 211
+
+    expected = sorted(((str(i), t or "", slot(i), plain[slot(i)]) for i, t in rows))
+    assert sorted((str(r.doc_id), r.text or "", r.slot_, r.shard) for r in back.collect()) == expected
+    assert sorted(str(r.text) for r in back.collect()) == sorted(str(t) for _, t in rows)
+    write_shards(dealt.where("false"), str(tmp_path / "none"))
+    assert read_shards(spark, str(tmp_path / "none"), dealt.schema).isEmpty()
     with pytest.raises(ValueError):
         lookup_table(names, 1000)
 
