@@ -182,6 +182,32 @@ def test_chains_look_past_what_is_too_far(spark):
     assert all(len(v) == 2 and all(b - a >= 68 for a, b in v) for v in found.values()) and set(found) == {1, 2}
 
 
+def plain_scores(anchors):
+    """The best score of a chain that ends in each anchor, from every anchor before it."""
+    score = {}
+    for i in sorted(range(len(anchors)), key=lambda i: anchors[i]):
+        start, pstart, words = anchors[i]
+        gaps = {j: (start - s - w, pstart - p - w) for j, (s, p, w) in enumerate(anchors) if j in score}
+        gains = [score[j] - 0.1 * (a + b) for j, (a, b) in gaps.items() if 0 <= a <= 60 and 0 <= b <= 60]
+        score[i] = words + max([0, *gains])
+    return score
+
+
+def test_chains_equal_all_pairs_of_anchors():
+    for _ in range(300):
+        far = RNG.choice([40, 300, 1500])
+        anchors = [(RNG.randrange(far), RNG.randrange(far), RNG.randint(1, 30)) for _ in range(RNG.randint(2, 60))]
+        scores = plain_scores(anchors)
+        chains = chains_of(anchors)
+        assert sorted(i for c in chains for i in c) == list(range(len(anchors)))
+        for chain in chains:
+            for (s, p, w), (t, q, _) in zip((anchors[i] for i in chain), (anchors[i] for i in chain[1:])):
+                assert 0 <= t - s - w <= 60 and 0 <= q - p - w <= 60
+        best = chains[0]
+        gaps = sum(anchors[b][0] + anchors[b][1] - anchors[a][0] - anchors[a][1] - 2 * anchors[a][2] for a, b in zip(best, best[1:]))
+        assert sum(anchors[i][2] for i in best) - 0.1 * gaps == pytest.approx(max(scores.values()))
+
+
 def test_chains_and_distance():
     assert chains_of([(0, 0, 10), (15, 14, 10), (18, 500, 9), (40, 41, 10)])[0] == [0, 1, 3]
     for _ in range(40):
