@@ -68,7 +68,7 @@ def record_json(schema: T.StructType, exclude: Sequence[str] = ()) -> Expr:
         F.concat(
             F.lit(json.dumps(field.name) + ":"),
             F.coalesce(
-                _json_value(F.col("`" + field.name.replace("`", "``") + "`"), field.dataType),
+                json_value(F.col("`" + field.name.replace("`", "``") + "`"), field.dataType),
                 F.lit("null"),
             ),
         )
@@ -82,7 +82,8 @@ def record_hash(schema: T.StructType, exclude: Sequence[str] = ()) -> Expr:
     return byte_hash(record_json(schema, exclude))
 
 
-def _json_value(value: Expr, kind: T.DataType) -> Expr:
+def json_value(value: Expr, kind: T.DataType) -> Expr:
+    """A value as canonical JSON; null for null."""
     if isinstance(kind, T.StringType):
         return _json_text(value)
     if isinstance(kind, (T.FloatType, T.DoubleType)):

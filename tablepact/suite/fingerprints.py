@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.functions.digests import byte_hash, fold, record_hash, text_hash
-from tablepact.operators.fingerprints import LIMB_DIGITS, LIMBS, array_fold, group_fold, snapshot_changes
-from tablepact.suite.registry import query
+from tablepact.operators import tables as t
+from tablepact.operators.fingerprints import (
+    LIMB_DIGITS, LIMBS, Ranges, array_fold, changed_keys, differing_leaves, fold_tree, group_fold, snapshot_changes,
+)
+from tablepact.suite.registry import columns, fresh_schema, query
 
 _ALTERED = """
 select doc_id, case when doc_id % 10 = 1 then concat(text, ' .') else text end as text, lang, source
@@ -112,3 +115,32 @@ def snapshot_changes_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = spark.sql("select user_id, event_type from events")
     new = old.where("not (user_id % 5 = 0 and event_type = 'error')")
     return snapshot_changes(old, new, ["user_id"])
+
+
+_RESTATED = """
+select o_orderkey, o_totalprice + case when o_orderkey between 1200 and 1300 and o_orderkey % 3 = 0 then 1 else 0 end as o_totalprice, o_orderstatus
+from orders where o_orderkey not between 1310 and 1320
+"""
+
+
+@query(f"""
+with new as ({_RESTATED})
+select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, case when n.o_orderkey is null then 'removed' else 'changed' end as status,
+       1 as n_leaves, 1 as n_partitions_read
+from orders o left join new n on o.o_orderkey = n.o_orderkey where n.o_orderkey is null or n.o_totalprice <> o.o_totalprice
+""")
+def snapshot_changes_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a table that differ in one range of keys: only that range's partition is read again."""
+    db, ranges = fresh_schema(spark, "changes_by_ranges"), Ranges("o_orderkey", 1000)
+    declared = columns("o_orderkey BIGINT not null", "o_totalprice DOUBLE PRECISION", "o_orderstatus CHAR(1)")
+    t.ensure_table(spark, db, "orders", declared, config={"partitioning": ["truncate(o_orderkey, 1000)"]})
+    snapshots, trees = [], []
+    for k, sql in enumerate(("select o_orderkey, o_totalprice, o_orderstatus from orders", _RESTATED)):
+        t.load(spark, db, "orders", spark.sql(sql))
+        snapshots.append(t.read_version(spark, db, "orders", t.describe(spark, db, "orders").version))
+        fold_tree(snapshots[-1], ranges).write.saveAsTable(f"{db}.orders_tree_{k}")
+        trees.append(spark.table(f"{db}.orders_tree_{k}"))
+    leaves = differing_leaves(*trees, ranges).count()
+    found = changed_keys(*snapshots, ["o_orderkey"], ranges, *trees)
+    read = {file.rsplit("/", 2)[1] for file in found.inputFiles() if "pact_truncate" in file}
+    return found.select("o_orderkey", "status", F.lit(leaves).alias("n_leaves"), F.lit(len(read)).alias("n_partitions_read"))

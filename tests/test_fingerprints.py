@@ -5,11 +5,13 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions.digests import byte_hash, fold, record_hash, record_json, text_hash
-from tablepact.operators.fingerprints import array_fold, group_fold, snapshot_changes
+from tablepact.operators import fingerprints
+from tablepact.operators.fingerprints import Ranges, array_fold, changed_keys, differing_leaves, fold_tree, group_fold, snapshot_changes
 
 
 def hexed(text):
@@ -57,7 +59,7 @@ def brute(rows):
 
 def folded(members):
     digests = [hexed(m) for m in members if m is not None]
-    sums = [sum(int(d[8 * i:8 * i + 8], 16) for d in digests) for i in range(8)]
+    sums = [sum(int(d[5 * i:5 * i + 5], 16) for d in digests) for i in range(13)]
     return len(digests), hexed(",".join(map(str, [len(digests), *sums]))) if digests else ""
 
 
@@ -110,6 +112,33 @@ def test_nested_values_have_a_canonical_form(spark):
         '{"a":[1,null],"b":"0aff","d":"2020-01-02","n":1.50,"s":{"x":null},"t":"2020-01-02 03:04:05.000000"}')
 
 
+def test_marks_tell_values_apart(spark):
+    rows = [("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("ab", None), ("-", "b"), (None, None), ("", ""), ("1:a", "b")]
+    old = spark.createDataFrame([(0, *r) for r in rows], "k int, s string, t string")
+    for i, row in enumerate(rows):
+        new = spark.createDataFrame([(0, *r) for r in rows[:i] + [rows[i - 1]] + rows[i + 1:]], "k int, s string, t string")
+        assert snapshot_changes(old, new, ["k"]).first().status == "changed", row
+    assert snapshot_changes(old, old.orderBy(F.rand(1)), ["k"]).first().status == "unchanged"
+
+
+@pytest.mark.parametrize("most_runs", [1, 3, 64])
+def test_trees_find_what_a_full_comparison_finds(spark, monkeypatch, most_runs):
+    monkeypatch.setattr(fingerprints, "MOST_RUNS", most_runs)
+    rng, ranges = random.Random(4), Ranges("k", 10, fanout=3, levels=4)
+    old = [(k, rng.choice("abc")) for k in range(-300, 300) for _ in range(rng.randint(0, 2))] + [(None, "x"), (2**62, "far")]
+    for touched in ([], [17], [-300, 5, 6, 150], list(range(-300, 300)), [None]):
+        new = [(k, s + "!" if k in touched and rng.random() < 0.7 else s) for k, s in old if not (k in touched and rng.random() < 0.2)]
+        new += [(k, "new") for k in touched if rng.random() < 0.3] + ([(10**6, "added")] if touched == [17] else [])
+        frames = [spark.createDataFrame(x, "k bigint, s string") for x in (old, rng.sample(new, len(new)))]
+        trees = [fold_tree(f, ranges) for f in frames]
+        assert trees[0].agg(F.countDistinct("level")).first()[0] == 4
+        full = snapshot_changes(*frames, ["k"]).where("status <> 'unchanged'")
+        found = changed_keys(*frames, ["k"], ranges, *trees)
+        assert sorted(map(str, found.collect())) == sorted(map(str, full.collect()))
+        leaves = {r.node for r in differing_leaves(*trees, ranges).collect()}
+        assert leaves == {None if r.k is None else r.k // 10 for r in full.collect()}
+
+
 def test_snapshots_with_other_columns(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, s string, gone int")
     new = spark.createDataFrame([(1, "a"), (3, "c")], "k int, s string")

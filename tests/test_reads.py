@@ -192,7 +192,7 @@ def partition_filters(frame):
     ("id in (3, 5, 7, 250, 251, 252, 253, 254, 255, 256, 257, 258, 259)", {"truncate_100_id", "bucket_2_id"}),
     ("id = 250", {"truncate_100_id", "bucket_2_id"}), ("kind = ''", {"identity_kind", "truncate_2_kind"}), ("kind >= 'k5'", {"identity_kind", "truncate_2_kind"}),
     ("kind in ('k1', 'k10', '\\'')", {"identity_kind"}), ("n = 5", {"bucket_3_n"}), ("n > 5", set()), ("ts < null", set()), ("ts is null", set()),
-    ("id < 10 or ts is null", set()), ("id + 1 < 10", set()), ("n <=> 3", {"bucket_3_n"}), ("ts <> timestamp'2024-01-01 00:00:00'", set()), ("id < 7.5", {"truncate_100_id"}),
+    ("id < 10 or ts is null", set()), ("id < 10 or id between 250 and 260", {"truncate_100_id"}), (f"(id < 10 and kind = 'k1') or (ts = {AT.format(1)} and id > 290)", {"truncate_100_id"}), ("id + 1 < 10", set()), ("n <=> 3", {"bucket_3_n"}), ("ts <> timestamp'2024-01-01 00:00:00'", set()), ("id < 7.5", {"truncate_100_id"}),
 ])
 def test_plain_reads_of_partitioned_tables_prune(spark, events, where, columns):
     query = f"select id, ts, kind, n from {events} where {where}"
