@@ -1,7 +1,7 @@
 """Value checks of a table, gathered so that one pass settles all of them.
 
 A ``Checked`` frame carries the converted columns next to one flag per check. The
-same flags serve four purposes: a report, a split into good and bad rows, a lazy
+same flags serve four purposes: a report, good and bad rows written apart, a lazy
 frame that fails at the first bad row, and metrics observed while a table is
 being written.
 """
@@ -143,17 +143,32 @@ class Checked:
         if self.checks:
             raise_first(self.checks, observation.get)
 
-    def split(self) -> tuple[DataFrame, DataFrame]:
-        """Rows that pass every check, typed; and the others, as given, with reasons."""
+    def written(self, folder: str) -> tuple[DataFrame, DataFrame]:
+        """Rows that pass every check, typed; and the others, as given, with reasons.
+
+        All rows are read, converted and judged once, and written to ``folder`` by their
+        outcome; both results are read from there.
+        """
         reasons = F.array_compact(F.array(*[
             F.when(check.flag, F.lit(f"{check.column}:{check.rule}")) for check in self.checks
         ])) if self.checks else F.array().cast("array<string>")
-        judged, here = self._frame.withColumn("reasons", reasons), F.col(_HERE) >= 0
-        passed = judged.where(here & (F.size("reasons") == 0)).select(*self.outputs())
-        failed = judged.where(here & (F.size("reasons") > 0)).select(
-            *[F.col(_quoted(n)) for n in self.source.columns], "reasons"
-        )
-        return passed, failed
+        outputs, given = self.outputs(), [F.col(_quoted(n)) for n in self.source.columns]
+        judged, failed = self._frame.withColumn("__pact_reasons", reasons), F.size("__pact_reasons") > 0
+        # Names are given again on the way out: within a file they may not differ in case only.
+        sides = {
+            "good": (~failed, F.struct(*[out.alias(f"c{i}") for i, out in enumerate(outputs)])),
+            "bad": (failed, F.struct(*[value.alias(f"c{i}") for i, value in enumerate(given)])),
+        }
+        kept = judged.select(*[F.when(holds, values).alias(side) for side, (holds, values) in sides.items()],
+                             "__pact_reasons", F.when(failed, "bad").otherwise("good").alias("__pact_outcome"))
+        kept.write.partitionBy("__pact_outcome").parquet(folder)
+        # A reader with the schema at hand starts no job of its own.
+        rows = kept.sparkSession.read.schema(kept.schema).parquet(folder)
+        passed = rows.where("__pact_outcome = 'good'").select(*[
+            F.col("good")[f"c{i}"].alias(c.name, metadata={"sql_type": c.type}) for i, c in enumerate(self.columns)])
+        refused = rows.where("__pact_outcome = 'bad'").select(*[
+            F.col("bad")[f"c{i}"].alias(name) for i, name in enumerate(self.source.columns)], F.col("__pact_reasons").alias("reasons"))
+        return passed, refused
 
 
 def metrics(checks: Sequence[Check]) -> list[Expr]:

@@ -119,6 +119,26 @@ def test_report_and_quarantine(spark):
     }
 
 
+def test_quarantine_judges_each_row_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(100).selectExpr("id as C0", "id", "if(id % 2 = 0, '1.5', 'x') as amount", "'a' as email").write.parquet(path)
+    source = spark.read.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    good, bad = quarantine(source.mapInArrow(counted, source.schema), COLUMNS, "warn", str(tmp_path / "apart"))
+    assert good.count() == 50 and bad.count() == 50 and good.agg(F.sum("id")).first()[0] == sum(range(0, 100, 2))
+    assert seen.value == 100
+    assert good.schema["amount"].dataType == T.DecimalType(10, 2) and good.schema["email"].metadata == {"sql_type": "VARCHAR(5)"}
+    assert bad.columns == ["C0", "id", "amount", "email", "reasons"]
+    for side in (good, bad):
+        assert side._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_checks_are_one_pass_and_prune_columns(spark, tmp_path):
     path = str(tmp_path / "wide")
     spark.range(100).selectExpr("id", "cast(id as string) amount", "'a' email", "id unused").write.parquet(path)
