@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: every node's larger neighbours, then its smaller
     ones, are linked to its least neighbour, until only stars are left. Each round is
-    two aggregations and joins on long keys and goes to a work table; no node's
-    neighbours are ever gathered, so a hub of any size is split like other keys.
+    two aggregations and joins on long keys and goes to work tables; no node's
+    neighbours are ever gathered, and a hub's rows of a join can be split over tasks.
     """
     a, b = F.col("a"), F.col("b")
     rows = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -22,10 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = rows.union(rows.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Joined from a work table, not from the aggregation: only then may Spark split a hub's partition of the join.
+        least = materialized(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components")
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
         large = materialized(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialized(large.groupBy("a").agg(F.min("b").alias("m")), "components")
         small = large.join(least, "a")
         rows = materialized(
             small.select(b.alias("a"), F.col("m").alias("b")).where(a != b)
