@@ -47,7 +47,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, encoded and decoded, as digests."""
-    return bpe_digests(encoded_by_words(docs, tokenizer()))
+    # Half of the usual chunk: by this stage the executors hold what earlier ones have grown to.
+    return bpe_digests(encoded_by_words(docs, tokenizer(), chunk=8_000_000))
 
 
 STAGES = [
@@ -58,7 +59,7 @@ STAGES = [
     ("BPE encoding", token_ids),
 ]
 
-#: SQL has no tokenizer and no groups of near duplicates; tests/llm compares with brute force.
+#: SQL has no tokenizer and no groups of near duplicates; tests/llm compares with the stages in plain Python.
 ORACLE_SQL = None
 
 
