@@ -8,6 +8,7 @@ being written.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from tablepact.contract import Column, struct_of
 from tablepact.errors import ConformError, PactError
+from tablepact.session import scratch_dir
 
 _VALUE = "__pact_value_"
 _FAILED = "__pact_failed_"
@@ -143,12 +145,14 @@ class Checked:
         if self.checks:
             raise_first(self.checks, observation.get)
 
-    def written(self, folder: str) -> tuple[DataFrame, DataFrame]:
+    def split(self, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Rows that pass every check, typed; and the others, as given, with reasons.
 
-        All rows are read, converted and judged once, and written to ``folder`` by their
-        outcome; both results are read from there.
+        All rows are read, converted and judged once, and written by their outcome to
+        ``folder``, or a new one of the shared scratch folder; both results are read from it.
         """
+        spark = self.source.sparkSession
+        folder = folder or f"{scratch_dir(spark).rstrip('/')}/quarantine-{uuid.uuid4().hex}"
         reasons = F.array_compact(F.array(*[
             F.when(check.flag, F.lit(f"{check.column}:{check.rule}")) for check in self.checks
         ])) if self.checks else F.array().cast("array<string>")
@@ -163,7 +167,7 @@ class Checked:
                              "__pact_reasons", F.when(failed, "bad").otherwise("good").alias("__pact_outcome"))
         kept.write.partitionBy("__pact_outcome").parquet(folder)
         # A reader with the schema at hand starts no job of its own.
-        rows = kept.sparkSession.read.schema(kept.schema).parquet(folder)
+        rows = spark.read.schema(kept.schema).parquet(folder)
         passed = rows.where("__pact_outcome = 'good'").select(*[
             F.col("good")[f"c{i}"].alias(c.name, metadata={"sql_type": c.type}) for i, c in enumerate(self.columns)])
         refused = rows.where("__pact_outcome = 'bad'").select(*[

@@ -7,7 +7,6 @@ starts. Values are settled by the checks of ``Checked``.
 from __future__ import annotations
 
 import logging
-import uuid
 from collections import Counter
 from collections.abc import Sequence
 
@@ -18,7 +17,6 @@ from tablepact.contract import EXTRA_COLUMN_POLICIES, Column
 from tablepact.errors import ConformError, PactError
 from tablepact.functions.casts import strict_cast
 from tablepact.operators.checks import Checked, Converted
-from tablepact.session import scratch_dir
 
 logger = logging.getLogger("tablepact.conform")
 
@@ -101,5 +99,4 @@ def quarantine(
     The rows are judged in one pass over ``df`` and written by outcome to ``folder``, a new
     one of the shared scratch folder if it is left out; both results are read from it.
     """
-    plan = plan_conform(df, columns, extra_columns)
-    return plan.written(folder or f"{scratch_dir(df.sparkSession).rstrip('/')}/quarantine-{uuid.uuid4().hex}")
+    return plan_conform(df, columns, extra_columns).split(folder)
