@@ -20,15 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(frame: DataFrame, name: str) -> DataFrame:
+#: Runtime setting: shuffle files go when the command that wrote them ends, not when the driver's memory is swept.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialized(frame: DataFrame, name: str, *, sweep: bool = False) -> DataFrame:
     """The frame written to the shared folder and read again.
 
     It cuts the lineage, survives lost executors, and gives the optimizer the
-    true size, by which Spark decides on its own whether a side may be broadcast.
+    true size, by which Spark decides on its own whether a side may be broadcast. With
+    ``sweep`` the shuffle files of the write are deleted once it is done.
     """
     spark = frame.sparkSession
     folder = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
+    before = spark.conf.get(SWEEP, "false")
+    try:
+        spark.conf.set(SWEEP, "true" if sweep else before)
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(SWEEP, before)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
