@@ -24,21 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialized(frame: DataFrame, name: str, *, sweep: bool = False) -> DataFrame:
+#: Runtime setting: rows that a Python task gets at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialized(frame: DataFrame, name: str, *, sweep: bool = False, batch: int | None = None) -> DataFrame:
     """The frame written to the shared folder and read again.
 
     It cuts the lineage, survives lost executors, and gives the optimizer the
     true size, by which Spark decides on its own whether a side may be broadcast. With
-    ``sweep`` the shuffle files of the write are deleted once it is done.
+    ``sweep`` the shuffle files of the write are deleted once it is done. ``batch`` bounds
+    the rows that its Python tasks get at a time, where rows are large.
     """
     spark = frame.sparkSession
     folder = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SWEEP, "false")
+    wanted = ({SWEEP: "true"} if sweep else {}) | ({BATCH: str(batch)} if batch else {})
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
-        spark.conf.set(SWEEP, "true" if sweep else before)
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         frame.write.parquet(folder)
     finally:
-        spark.conf.set(SWEEP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
