@@ -24,6 +24,8 @@ from tablepact.sources.pruning import with_partition_bounds
 LIMBS, LIMB_DIGITS = 13, 5
 #: Differing leaves that are looked at one by one, and runs of them that become conditions.
 MOST_LEAVES, MOST_RUNS = 100_000, 64
+#: Partitions that a table laid out by ranges of keys has at most; each costs a folder, a file and a catalog entry.
+MOST_PARTITIONS = 64
 
 
 def _limbs(digest: Expr) -> list[Expr]:
@@ -132,6 +134,20 @@ class Ranges:
         return _floor_div(F.col(_quoted(self.key)).cast("bigint"), self.width)
 
 
+def partition_width(df: DataFrame, ranges: Ranges) -> int:
+    """Values of the key in a partition: whole leaves, twice as many until the keys fill at most ``MOST_PARTITIONS``.
+
+    The number of partitions does not grow with the table then, only the rows in each. A
+    leaf never lies in two partitions.
+    """
+    key = F.col(_quoted(ranges.key)).cast("bigint")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = ranges.width
+    while low is not None and high // width - low // width >= MOST_PARTITIONS:
+        width *= 2
+    return width
+
+
 def _floor_div(value: Expr, width: int) -> Expr:
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tablepact.functions.digests import byte_hash, fold, record_hash, text_hash
 from tablepact.operators import tables as t
 from tablepact.operators.fingerprints import (
-    LIMB_DIGITS, LIMBS, Ranges, array_fold, changed_keys, differing_leaves, fold_tree, group_fold, snapshot_changes,
+    LIMB_DIGITS, LIMBS, Ranges, array_fold, changed_keys, differing_leaves, fold_tree, group_fold,
+    partition_width, snapshot_changes,
 )
 from tablepact.suite.registry import columns, fresh_schema, query
 
@@ -133,7 +134,8 @@ def snapshot_changes_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a table that differ in one range of keys: only that range's partition is read again."""
     db, ranges = fresh_schema(spark, "changes_by_ranges"), Ranges("o_orderkey", 1000)
     declared = columns("o_orderkey BIGINT not null", "o_totalprice DOUBLE PRECISION", "o_orderstatus CHAR(1)")
-    t.ensure_table(spark, db, "orders", declared, config={"partitioning": ["truncate(o_orderkey, 1000)"]})
+    width = partition_width(spark.table("orders"), ranges)
+    t.ensure_table(spark, db, "orders", declared, config={"partitioning": [f"truncate(o_orderkey, {width})"]})
     snapshots, trees = [], []
     for k, sql in enumerate(("select o_orderkey, o_totalprice, o_orderstatus from orders", _RESTATED)):
         t.load(spark, db, "orders", spark.sql(sql))

@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 from hashlib import sha256
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from tablepact.functions.digests import byte_hash, fold, record_hash, record_json, text_hash
 from tablepact.operators import fingerprints
 from tablepact.operators.fingerprints import Ranges, array_fold, changed_keys, differing_leaves, fold_tree, group_fold, snapshot_changes
+from tablepact.suite import QUERIES
 
 
 def hexed(text):
@@ -145,3 +147,23 @@ def test_snapshots_with_other_columns(spark):
     assert {r.k: r.status for r in snapshot_changes(old, new, ["k"]).collect()} == {1: "changed", 2: "removed", 3: "added"}
     assert {r.k: r.status for r in snapshot_changes(new, old, ["k"]).collect()} == {1: "changed", 2: "added", 3: "removed"}
     assert {r.k: r.status for r in snapshot_changes(old, new, ["k"], ["s"]).collect()}[1] == "unchanged"
+
+
+def test_a_partition_is_whole_leaves_and_partitions_stay_few(spark):
+    def width(*keys):
+        return fingerprints.partition_width(spark.createDataFrame([(k,) for k in keys], "k long"), Ranges("k", 10))
+
+    assert width() == width(None) == width(7, None) == width(0, 639) == 10
+    assert width(0, 640) == width(-1, 638) == 20
+    for low, high in [(0, 10**6), (-(10**9), 5), (-(2**63), 2**63 - 1)]:
+        wide = width(low, high)
+        assert wide % 10 == 0 and high // wide - low // wide < fingerprints.MOST_PARTITIONS <= high // (wide // 2) - low // (wide // 2)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no test tables")
+def test_the_partitions_of_compared_snapshots_do_not_grow_with_the_table(spark):
+    found = QUERIES["snapshot_changes_by_ranges"](spark, "/root/testdata/sf0.1").select("n_leaves", "n_partitions_read").distinct().collect()
+    assert [tuple(r) for r in found] == [(1, 1)]
+    versions = [r.tableName for r in spark.sql("show tables in pact_changes_by_ranges").collect() if "__v_" in r.tableName]
+    counts = [spark.sql(f"show partitions pact_changes_by_ranges.{v}").count() for v in versions]
+    assert len(versions) == 3 and 0 < max(counts) <= fingerprints.MOST_PARTITIONS
